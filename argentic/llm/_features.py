@@ -61,14 +61,16 @@ def byte_grams(data: np.ndarray, ends: np.ndarray, n: int, bits: int) -> tuple[n
 
 
 def word_grams(data: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, piece) of every word."""
+    """(bucket, piece) of every word, and of a sign, always the same, for every word that repeats the one before it."""
     solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[ends] = True
     start = np.flatnonzero(solid & ~(np.append(False, solid[:-1]) & ~edge[:-1]))
     stop = np.flatnonzero(solid & ~(np.append(solid[1:], False) & ~edge[1:])) + 1
     key = mix(Rolling(data).at(start, stop) + U(0x57))
-    return (key >> U(64 - bits)).astype(np.int64), np.searchsorted(ends, start, side="right")
+    piece = np.searchsorted(ends, start, side="right")
+    again = np.append(False, (key[1:] == key[:-1]) & (piece[1:] == piece[:-1]))[: len(key)]
+    return np.append(key >> U(64 - bits), np.zeros(again.sum(), dtype=U)).astype(np.int64), np.append(piece, piece[again])
 
 
 def sums_by_row(values: np.ndarray, pieces: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 Words and byte n-grams of a text are hashed to rows of one table of vectors; a
-document is the mean of its vectors, and a softmax over two outputs gives the
+document is the mean of its vectors (and of PADDING zeros), and a softmax over two outputs gives the
 score.  Trained by stochastic gradient descent in numpy on a bounded sample of
 labelled rows, in one task; scoring needs one number for each table row, since
 the mean of vectors times the output weights is the mean of their products.
@@ -24,7 +24,9 @@ BITS = 16
 GRAMS = (3, 5)
 #: Parameters of training: labelled rows at most, chosen by a hash of their id; vector size; passes; step.
 SAMPLE = 4000
-VECTOR, PASSES, STEP = 12, 12, 0.5
+VECTOR, PASSES, STEP = 12, 15, 0.5
+#: So many features without effect count towards each mean: few features tell little.
+PADDING = 100
 THRESHOLD = 0.7
 
 
@@ -44,7 +46,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
         for bucket, _, _ in _features([t]):
             total += np.bincount(bucket, minlength=1 << BITS)
         ids = np.flatnonzero(total)
-        docs.append((ids.astype(np.int32), total[ids] / max(total.sum(), 1)))
+        docs.append((ids.astype(np.int32), total[ids] / (total.sum() + PADDING)))
     table = rng.uniform(-1 / VECTOR, 1 / VECTOR, (1 << BITS, VECTOR)).astype(np.float32)
     out, bias = np.zeros((VECTOR, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     for done in range(PASSES):
@@ -95,7 +97,7 @@ def score_rows(docs: DataFrame, model: bytes) -> DataFrame:
             for bucket, piece, rows in _features(b.column(b.num_columns - 1).to_pylist()):
                 total += sums_by_row(values[bucket], piece, rows, n)
                 count += np.bincount(rows[piece], minlength=n)
-            odds = total / np.maximum(count, 1) + values[-1]
+            odds = total / (count + PADDING) + values[-1]
             score = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*names, "score"])
 
