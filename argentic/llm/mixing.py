@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     What a source can't take goes to the others by weight: there is one level
     such that each target is the lesser of its cap and level * weight.  With
-    sources in order of cap / weight, the level follows from running sums.
+    sources in order of cap / weight, the level follows from running sums: it is
+    that of the first source that it doesn't fill, and levels only fall after.
     """
     weights = F.array(*map(F.lit, WEIGHTS))
     ranked = sizes.withColumn("rank_", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(below), F.lit(0))) / F.sum("weight").over(above)
     leveled = capped.withColumn("level_", level)
     fits = F.when(F.col("level_") * F.col("weight") <= F.col("cap"), F.col("level_"))
-    return leveled.withColumn("level", F.min(fits).over(everything)).select(
+    return leveled.withColumn("level", F.max(fits).over(everything)).select(
         "source",
         "source_size",
         F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double")), F.lit(0.0)).alias("target"),
@@ -101,7 +102,7 @@ WITH sized AS (
     / (sum(weight) OVER (ORDER BY cap / weight, rank_ ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level_
   FROM capped
 ), targets AS (
-  SELECT source, source_size, coalesce(least(min(CASE WHEN level_ * weight <= cap THEN level_ END) OVER () * weight, cap::DOUBLE), 0.0) AS target
+  SELECT source, source_size, coalesce(least(max(CASE WHEN level_ * weight <= cap THEN level_ END) OVER () * weight, cap::DOUBLE), 0.0) AS target
   FROM leveled
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
