@@ -11,13 +11,15 @@ and Rosenberg's doubling:
 2. rerank by the pair of that rank and the whole span around it; spans met twice
    are settled, with all their windows;
 3. the spans left, of which others share the anchor only, are compared window by
-   window: within one list if few share an anchor, else by hashes of windows.
+   window: within one list if few share an anchor, else by hashes, of blocks of
+   windows and then of the windows in blocks that are neither settled nor unique.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ GRAM = 48
 TILE = 1 << 19
 #: So many spans of one anchor are compared in one list; more of them by hashes over the cluster.
 LISTED = 64
+#: Windows that are first compared as one, where many spans share an anchor.
+BLOCK = 16
 #: A run of window starts is one long: start << SHIFT | count.
 SHIFT = 20
 
@@ -140,49 +144,101 @@ def _compare_lists(spans_: DataFrame, window: int) -> DataFrame:
     return lists.select("x").mapInArrow(each, f"doc_id {kind}, h long, run long")
 
 
-def _compare_hashes(spans_: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """The same for anchors that any number of spans share: windows meet by hash."""
+def _at(names: list[str], at: pa.Array, batch: pa.RecordBatch) -> list[pa.Array]:
+    return [batch.column(batch.schema.get_field_index(c)).take(at) for c in names]
+
+
+def _cut_blocks(spans_: DataFrame, window: int) -> DataFrame:
+    """The windows of spans in blocks of BLOCK, aligned to the anchor.
+
+    inner names the bytes that all windows of a whole block share, u1 and u2 the
+    block's own windows; s has its bytes.
+    """
     kind = spans_.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            run, n, s = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-            for lo in range(0, len(run), 1024):
-                pieces = s[lo : lo + 1024].tolist()
+            rows, starts, counts, inner, units, texts = [], [], [], [], [], []
+            for i, (run, text) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                roll = Rolling(np.frombuffer(text, dtype=np.uint8))
+                windows = len(text) - window + 1
+                anchor = int(np.argmin(roll.every(GRAM)[: window - GRAM + 1] >> U(32)))
+                for block in range((anchor - windows + 1) // BLOCK, anchor // BLOCK + 1):
+                    first = max(anchor - block * BLOCK - BLOCK + 1, 0)
+                    last = min(anchor - block * BLOCK, windows - 1)
+                    if first > last:
+                        continue
+                    core = anchor - block * BLOCK  # the last start of a whole block; its first window ends BLOCK - 1 sooner
+                    ends = np.array([[core, core + window - BLOCK + 1], [first, last + window]])
+                    ends = np.clip(ends, 0, len(text))
+                    inner.append(roll.at(ends[:1, 0], ends[:1, 1])[0] ^ U(block & 0xFFFF))
+                    units.append(roll.at(ends[1:, 0], ends[1:, 1])[0])
+                    rows.append(i), starts.append((run >> SHIFT) + first), counts.append(last - first + 1)
+                    texts.append(text[first : last + window])
+            if rows:
+                at, u = pa.array(rows), np.array(units, dtype=U)
+                second = mix(u + np.array(inner, dtype=U) + U(1) * np.array(counts, dtype=U))
+                made = [starts, counts, np.array(inner, dtype=U).view(np.int64), u.view(np.int64), second.view(np.int64)]
+                columns = [*_at(["doc_id", "h", "n"], at, b), *(pa.array(x, type=pa.int64()) for x in made), pa.array(texts, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "start", "count", "inner", "u1", "u2", "s"])
+
+    schema = f"doc_id {kind}, h long, n long, start long, count long, inner long, u1 long, u2 long, s binary"
+    return spans_.select("doc_id", "h", "run", "n", "s").mapInArrow(each, schema)
+
+
+def _cut_windows(blocks: DataFrame, window: int) -> DataFrame:
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            start, texts = b.column(3).to_numpy(), b.column(4).to_pylist()
+            for lo in range(0, len(texts), 1024):
+                pieces = texts[lo : lo + 1024]
                 size = np.array([len(p) for p in pieces])
-                ends = np.cumsum(size)
-                if not len(size):
-                    continue
                 roll = Rolling(np.frombuffer(b"".join(pieces), dtype=np.uint8))
                 counts = size - window + 1
                 row = np.repeat(np.arange(len(size)), counts)
                 within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = (ends - size)[row] + within
-                first = roll.at(start, start + window)
-                second = mix(roll.at(start, start + window // 2) + U(1))
-                at = pa.array(row + lo)
-                columns = [b.column(0).take(at), b.column(1).take(at), pa.array((run[lo : lo + 1024][row] >> SHIFT) + within), pa.array(n[lo : lo + 1024][row])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["doc_id", "h", "start", "n", "w1", "w2"])
+                at = (np.cumsum(size) - size)[row] + within
+                names = roll.at(at, at + window), mix(roll.at(at, at + window // 2) + U(1))
+                columns = [*_at(["doc_id", "h", "n"], pa.array(row + lo), b), pa.array(start[lo : lo + 1024][row] + within), *(pa.array(x.view(np.int64)) for x in names)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "start", "w1", "w2"])
+
+    return blocks.select("doc_id", "h", "n", "start", "s").mapInArrow(each, f"doc_id {kind}, h long, n long, start long, w1 long, w2 long")
+
 
-    each_window = scratch.save(spans_.select("doc_id", "h", "run", "n", "s").mapInArrow(each, f"doc_id {kind}, h long, start long, n long, w1 long, w2 long"))
-    again = each_window.groupBy("w1", "w2").agg(F.sum("n").alias("all_")).filter("all_ > 1").drop("all_")
-    found = each_window.filter("n = 1").join(again, ["w1", "w2"], "left_semi")
-    return found.select("doc_id", "h", (F.shiftleft("start", SHIFT) + 1).alias("run"))
+def _met(table: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose names are in ``found``, which is a written table: either side of the join can be split if a name is frequent."""
+    other = found.select(*(F.col(c).alias(f"{c}_") for c in names))
+    return table.join(other, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"{c}_") for c in names)), "left_semi")
+
+
+def _compare_hashes(spans_: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """The same for anchors that any number of spans share: blocks of windows meet by hash, then the windows of blocks left open."""
+    blocks = scratch.save(_cut_blocks(spans_, window))
+    unit = ["inner", "u1", "u2"]
+    units = blocks.groupBy(*unit).agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "h", "start", "s")))
+    units = scratch.save(units)
+    settled = _met(blocks.filter("n = 1"), unit, units.filter("n > 1")).select("doc_id", "h", (F.shiftleft("start", SHIFT) + F.col("count")).alias("run"))
+    several = scratch.save(units.groupBy("inner").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    windows = scratch.save(_cut_windows(_met(units, ["inner"], several), window))
+    again = scratch.save(windows.groupBy("w1", "w2").agg(F.sum("n").alias("all_")).filter("all_ > 1"))
+    found = _met(windows.filter("n = 1"), ["w1", "w2"], again)
+    return settled.unionByName(found.select("doc_id", "h", (F.shiftleft("start", SHIFT) + 1).alias("run")))
 
 
 def repeated_runs(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """(doc_id, h, run): runs of window starts whose bytes also start anywhere else."""
     rows = _rows(docs)
     suffixes = scratch.save(_anchored(rows, window))
-    ranks = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k_"))
-    shared = scratch.save(suffixes.join(ranks, F.col("key") == F.col("k_"), "left_semi"))
-    scratch.drop(suffixes)
+    ranks = scratch.save(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    shared = scratch.save(_met(suffixes, ["key"], ranks))
+    scratch.drop(suffixes, ranks)
     pairs = shared.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "h", "run")))
     pairs = scratch.save(pairs)
-    twice = pairs.filter("n > 1").select(F.col("key").alias("k_"), F.col("span").alias("s_"))
-    settled = scratch.save(shared.join(twice, (F.col("key") == F.col("k_")) & (F.col("span") == F.col("s_")), "left_semi").select("doc_id", "h", "run"))
+    settled = scratch.save(_met(shared, ["key", "span"], pairs.filter("n > 1")).select("doc_id", "h", "run"))
     scratch.drop(shared)
-    several = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("key").alias("k_"), "m")
+    several = scratch.save(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("key").alias("k_"), "m"))
     open_ = scratch.save(pairs.join(several, F.col("key") == F.col("k_")).select("doc_id", "h", "run", "key", "n", "m"))
     read = scratch.save(_bytes_of(rows, open_, window))
     scratch.drop(pairs, open_)
