@@ -48,10 +48,11 @@ class Scratch:
         self.count = 0
         atexit.register(self._forget)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, packed: bool = False) -> DataFrame:
+        """``packed``: values are large and compressed already; pages of them would take as much memory again to compress."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression="none" if packed else None)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -31,7 +31,7 @@ from ._anchors import U, mix
 from ._common import Scratch, fold, load
 
 #: Tokens in a chunk, and keys in a bucket, as a rule at most.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BUCKET_KEYS = 1 << 22
 START, END = U(0), U(1)
 #: Buckets of context counts: 0, then powers of two; cells of a probability's logarithm, 4 an octave, the last for zero.
@@ -269,12 +269,12 @@ def score_documents(docs: DataFrame, held) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     held = F.coalesce(held, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = scratch.save(_chunks(docs, held))
+    chunks = scratch.save(_chunks(docs, held), packed=True)
     size = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_KEYS))
-    answers = scratch.save(_questions(chunks, buckets).groupBy("bucket").applyInPandas(_answer, "chunk long, bucket long, tokens long, types long, c1 binary, c2 binary"))
+    answers = scratch.save(_questions(chunks, buckets).groupBy("bucket").applyInPandas(_answer, "chunk long, bucket long, tokens long, types long, c1 binary, c2 binary"), packed=True)
     tokens, types = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
-    resolved = scratch.save(_resolve(chunks, answers))
+    resolved = scratch.save(_resolve(chunks, answers), packed=True)
     scratch.drop(chunks, answers)
     ends = docs.filter(~held).count()
 
