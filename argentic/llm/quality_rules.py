@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, Scratch, load, words
+from ._common import SPACE_RUN, SPACES, Scratch, load, words
 
 #: The most common function words of each language, in small letters.
 COMMON = {
@@ -24,6 +24,7 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur au plus il".split(),
 }
 SYMBOLS = "#*$%&|<>"
+MARKS = SYMBOLS + ".,;:!?'\"()[]{}-_=+/\\^~`@"
 #: Documents of fewer words than these are not held against the histogram: too little to tell.
 MIN_WORDS_FOR_CLASSES = 40
 MIN_WORDS_FOR_COMMON = 60
@@ -62,8 +63,11 @@ def text_counts(docs: DataFrame) -> DataFrame:
     again = "array_sort(transform(filter(sorted, (s, j) -> s.x <=> get(sorted, j - 1).x OR s.x <=> get(sorted, j + 1).x), s -> s.i))"
     base = base.withColumn("places", F.expr(f"CASE WHEN sorted IS NOT NULL THEN {again} END"))
     covered = F.expr("CASE WHEN places IS NULL THEN 0L ELSE aggregate(transform(places, (p, j) -> CAST(CASE WHEN j = 0 THEN 5 ELSE least(5, p - get(places, j - 1)) END AS BIGINT)), 0L, (s, v) -> s + v) END")
+    # small letters, then spaces, are taken out by runs; what is left, a tenth as a rule, is looked at by each class
+    base = base.withColumn("no_small", F.regexp_replace("text", "[a-z]+", "")).withColumn("rest", F.regexp_replace("no_small", SPACE_RUN, ""))
     whole = F.char_length("text")
-    classes = {name: _without(F.col("text"), chars) for name, chars in CLASSES.items()}
+    classes = {name: _without(F.col("rest"), chars) for name, chars in CLASSES.items()}
+    classes["small"], classes["space"] = whole - F.char_length("no_small"), F.char_length("no_small") - F.char_length("rest")
     out = base.select(
         "doc_id",
         "h",
@@ -71,7 +75,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
         F.size("ws").cast("long").alias("n_words"),
         whole.cast("long").alias("n_chars_"),
         *(c.cast("long").alias(f"c_{name}") for name, c in classes.items()),
-        _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        _without(F.col("rest"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
     )
@@ -80,11 +84,11 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def common_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, lang, word, n): how often each common word of any language is in a text; word '' counts all words."""
+    """(doc_id, h, lang, word, n): how often each common word of any language is in a text, marks around it aside."""
     every = sorted({w for ws in COMMON.values() for w in ws})
     ws = words(F.lower(F.col("text")))
     each = docs.select("doc_id", F.xxhash64("text").alias("h"), "lang", F.explode(ws).alias("w"))
-    each = each.select("doc_id", "h", "lang", F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word")).filter(F.col("word").isin(every))
+    each = each.select("doc_id", "h", "lang", F.btrim("w", F.lit(MARKS)).alias("word")).filter(F.col("word").isin(every))
     return each.groupBy("doc_id", "h", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
