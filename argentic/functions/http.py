@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import unsigned_hex
 
@@ -50,7 +51,7 @@ def byte_range(header: Column, total: Column) -> Column:
 _ESCAPE = re.compile(rb"%([0-9a-fA-F]{2})")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_decode(x: pd.Series) -> pd.Series:
     """Escapes become bytes, broken ones stay, and bytes that are no UTF-8 become the replacement character."""
 

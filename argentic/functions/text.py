@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def unsigned_hex(x: Column) -> Column:
@@ -18,9 +19,9 @@ def parse_hex(x: Column) -> Column:
 
 
 def bytes_of(x: Column) -> Column:
-    """UTF-8 bytes of a text, or those of a binary, as an array of long."""
+    """UTF-8 bytes of a name, as an array of long; each one is looked up from the start, so this is for short texts."""
     packed = F.hex(x.cast("binary"))
-    each = F.transform(F.sequence(F.lit(1), F.length(packed) / 2), lambda i: F.conv(F.substring(packed, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    each = F.transform(F.sequence(F.lit(1), (F.length(packed) / 2).cast("int")), lambda i: F.conv(F.substring(packed, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
     return F.when(F.length(packed) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -55,7 +56,7 @@ def display_path(path: Column) -> Column:
     return F.regexp_replace(slashes(path), r"^//\?/", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fixed(x: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else f"{v:.{d}f}" for v, d in zip(x, digits, strict=True)])
 

@@ -38,11 +38,13 @@ def _tiles(items: DataFrame, threshold: int) -> DataFrame:
     both = rows.select("ord", "views", "upright", "tile", other)
     paired = both.withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other")})
 
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord")
         left, right = group[group["tile"] == key[0]], group[group["tile"] == key[1]]
-        views = np.stack(left["views"].to_numpy()).astype(np.int64)
-        upright, ids = right["upright"].to_numpy(np.int64), right["ord"].to_numpy(np.int64)
+        if left.empty or right.empty:
+            return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "int32"})
+        views = np.stack(left["views"].to_numpy()).astype(np.int64).view(np.uint64)
+        upright, ids = right["upright"].to_numpy(np.int64).view(np.uint64), right["ord"].to_numpy(np.int64)
         out = []
         for lo in range(0, len(left), 256):
             best = np.bitwise_count(views[lo : lo + 256, 0, None] ^ upright)
@@ -110,8 +112,8 @@ def _merge(group: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """Greedy merges inside one component: nearest pairs first, and no two members further apart than twice the threshold."""
     group = group.sort_values("ord", ignore_index=True)
     place = {o: k for k, o in enumerate(group["ord"])}
-    views = np.stack(group["views"].to_numpy()).astype(np.int64)
-    upright = group["upright"].to_numpy(np.int64)
+    views = np.stack(group["views"].to_numpy()).astype(np.int64).view(np.uint64)
+    upright = group["upright"].to_numpy(np.int64).view(np.uint64)
     links = sorted((int(d), place[i], place[j]) for i, near in zip(group["ord"], group["near"], strict=True) for j, d in zip(near[0::2], near[1::2], strict=True))
     root, members = list(range(len(group))), [[k] for k in range(len(group))]
     for _, i, j in links:

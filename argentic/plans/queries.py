@@ -1,4 +1,762 @@
-"""Queries over the driver's tables, one for each operator, and their SQL."""
+"""Queries over the driver's tables, one for each operator, and their SQL.
+
+The tables have no photos, so each operator gets a projection of whole tables:
+pages are files, events the timeline, embeddings 8 x 8 grids, texts rasters.
+"""
+
+from __future__ import annotations
+
+import struct
+import tempfile
+import uuid
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from argentic.functions import http, text
+from argentic.operators import palette, qr, raster, similarity
+from argentic.plans import catalog
+from argentic.sources import exif, gif, jpeg, png, sniff
+from argentic.streaming import reindex
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+NEAR = 18
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load(spark, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _sql_bytes(x: str) -> str:
+    return f"list_transform(range(octet_length(encode({x}))), lambda i: ('0x' || substr(hex(encode({x})), (2 * i + 1)::INT, 2))::BIGINT)"
+
+
+def _sql_fnv(x: str) -> str:
+    start, prime, wrap = "14695981039346656037::HUGEINT", "1099511628211::HUGEINT", "18446744073709551616::HUGEINT"
+    return f"printf('%016x', list_reduce(list_concat([{start}], list_transform({_sql_bytes(x)}, lambda b: b::HUGEINT)), lambda h, b: (xor(h, b) * {prime}) % {wrap})::UBIGINT)"
+
+
+# Files, names and formats ----------------------------------------------------
+
+_REL = "regexp_replace(replace(url, '\\', '/'), '^https?://', '')"
+
+
+@query(f"SELECT page_id, {_REL} AS rel, split_part({_REL}, '/', -1) AS name, {_sql_fnv(_REL)} AS id FROM pages")
+def scan_catalog_ids(spark, sf_dir):
+    rel = F.regexp_replace(text.slashes(F.col("url")), "^https?://", "")
+    return _load(spark, sf_dir, "pages").select("page_id", rel.alias("rel"), text.last_name(rel).alias("name"), text.unsigned_hex(text.fnv1a64(rel)).alias("id"))
+
+
+#: Headers that pages get in turn; the last two are no image.
+_HEADS = ["FFD8FFE0", "89504E470D0A1A0A", "474946383761", "474946383961", "000000186674797068656963", "000000186674797069736F6D", ""]
+_FORMATS = ["jpeg", "png", "gif", "gif", "heic", None, None]
+
+
+def _content():
+    return F.concat(F.unhex(F.get(F.array(*map(F.lit, _HEADS)), (F.col("page_id") % len(_HEADS)).cast("int"))), F.col("html").cast("binary"))
+
+
+_SQL_HEAD = "CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS)) + " END || hex(encode(html))"
+_SQL_FORMAT = (
+    "CASE WHEN h LIKE 'FFD8FF%' THEN 'jpeg' WHEN h LIKE '89504E470D0A1A0A%' THEN 'png' WHEN h LIKE '474946383761%' OR h LIKE '474946383961%' THEN 'gif' "
+    "WHEN substr(h, 9, 8) = '66747970' AND substr(h, 17, 8) IN ('68656963','68656978','6865696D','68656973','68657663','6865766D','68657673','6D696631') THEN 'heic' END"
+)
+
+
+@query(f"SELECT page_id, {_SQL_FORMAT} AS format, 'image/' || ({_SQL_FORMAT}) AS mime FROM (SELECT page_id, {_SQL_HEAD} AS h FROM pages)")
+def sniff_format(spark, sf_dir):
+    found = _load(spark, sf_dir, "pages").select("page_id", sniff.sniff(_content()).alias("format"))
+    return found.withColumn("mime", sniff.mime(F.col("format")))
+
+
+_ERRORS = [None, "unsupported chunk", "too large: 9 x 9", "truncated at 4"]
+_SQL_ERROR = "CASE page_id % 4 WHEN 1 THEN 'unsupported chunk' WHEN 2 THEN 'too large: 9 x 9' WHEN 3 THEN 'truncated at 4' END"
+
+
+@query(
+    f"SELECT page_id, CASE WHEN f = 'heic' THEN 'nopreview' WHEN e IS NULL THEN 'ok' WHEN e LIKE 'unsupported%' THEN 'nopreview' ELSE 'failed' END AS state, "
+    f"CASE WHEN f = 'heic' THEN 'HEVC' WHEN e LIKE 'unsupported%' THEN 'unsupported' ELSE e END AS reason "
+    f"FROM (SELECT page_id, {_SQL_FORMAT} AS f, {_SQL_ERROR} AS e FROM (SELECT page_id, {_SQL_HEAD} AS h FROM pages)) WHERE f IS NOT NULL"
+)
+def state_classify(spark, sf_dir):
+    error = F.get(F.array(*(F.lit(e).cast("string") for e in _ERRORS)), (F.col("page_id") % 4).cast("int"))
+    found = _load(spark, sf_dir, "pages").select("page_id", sniff.sniff(_content()).alias("f"), error.alias("e")).filter("f is not null")
+    return found.withColumn("s", sniff.state(F.col("f"), F.col("e"))).select("page_id", "s.state", "s.reason")
+
+
+# Dates, cameras, exposure ----------------------------------------------------
+
+_SQL_RAW_DATE = (
+    "CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') WHEN 1 THEN '  ' || strftime(o_orderdate, '%Y-%m-%dT%H.%M.%S') || ' ' "
+    "WHEN 2 THEN strftime(o_orderdate, '%Y:02:31 10:11:60') WHEN 3 THEN '0000:00:00 00:00:00' WHEN 4 THEN 'short' ELSE strftime(o_orderdate, '%Y:13:%d 25:00:00') END"
+)
+
+
+def _raw_date():
+    at = lambda f: F.date_format("o_orderdate", f)
+    kinds = [
+        at("yyyy:MM:dd HH:mm:ss"), F.concat(F.lit("  "), at("yyyy-MM-dd'T'HH.mm.ss"), F.lit(" ")), at("yyyy:'02:31 10:11:60'"),
+        F.lit("0000:00:00 00:00:00"), F.lit("short"), at("yyyy:'13':dd '25:00:00'"),
+    ]
+    k, out = F.col("o_orderkey") % 6, kinds[-1]
+    for i, kind in enumerate(kinds[:-1]):
+        out = F.when(k == i, kind).otherwise(out)
+    return out
+
+
+@query(f"""
+WITH r AS (SELECT o_orderkey, trim({_SQL_RAW_DATE}) AS t FROM orders),
+p AS (SELECT o_orderkey, t, try_cast(substr(t, 1, 4) AS BIGINT) y, try_cast(substr(t, 6, 2) AS BIGINT) mo, try_cast(substr(t, 9, 2) AS BIGINT) d,
+  try_cast(substr(t, 12, 2) AS BIGINT) h, try_cast(substr(t, 15, 2) AS BIGINT) mi, try_cast(substr(t, 18, 2) AS BIGINT) s FROM r)
+SELECT o_orderkey, CASE WHEN length(t) >= 19 AND y >= 1826 AND mo BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND h BETWEEN 0 AND 23 AND mi BETWEEN 0 AND 59 AND s BETWEEN 0 AND 60
+  THEN (date_diff('day', DATE '1970-01-01', make_date(y, mo, 1)) + d - 1) * 86400 + h * 3600 + mi * 60 + s END AS taken FROM p
+""")
+def parse_exif_datetime(spark, sf_dir):
+    return _load(spark, sf_dir, "orders").select("o_orderkey", text.parse_exif_datetime(_raw_date()).alias("taken"))
+
+
+_SQL_TAKEN = """
+  SELECT event_id, event_type, epoch(ts)::BIGINT AS mtime, CASE event_type WHEN 'view' THEN NULL WHEN 'error' THEN NULL ELSE floor(epoch(ts))::BIGINT - user_id * 3600 END AS own,
+    CASE event_type WHEN 'error' THEN floor(epoch(ts))::BIGINT + user_id END AS digitized, event_type || '/' || event_id AS rel FROM events"""
+_SQL_ENTRIES = f"SELECT event_id, rel, coalesce(own, digitized, mtime) AS taken, CASE WHEN own IS NOT NULL THEN 'taken' WHEN digitized IS NOT NULL THEN 'digitized' ELSE 'mtime' END AS date_source FROM ({_SQL_TAKEN.replace('epoch(ts)::BIGINT AS mtime', 'floor(epoch(ts))::BIGINT AS mtime')})"
+
+
+def _entries(spark, sf_dir):
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    own = F.when(F.col("event_type").isin("view", "error"), None).otherwise(seconds - F.col("user_id") * 3600)
+    digitized = F.when(F.col("event_type") == "error", seconds + F.col("user_id"))
+    source = F.when(own.isNotNull(), "taken").when(digitized.isNotNull(), "digitized").otherwise("mtime")
+    rel = F.concat_ws("/", "event_type", F.col("event_id").cast("string"))
+    return _load(spark, sf_dir, "events").select("event_id", rel.alias("rel"), F.coalesce(own, digitized, seconds).alias("taken"), source.alias("date_source"))
+
+
+@query(f"SELECT event_id, taken, date_source, strftime(make_timestamp(taken * 1000000), '%Y-%m-%d') AS day FROM ({_SQL_ENTRIES})")
+def taken_fallback(spark, sf_dir):
+    return _entries(spark, sf_dir).select("event_id", "taken", "date_source", text.day_text(F.col("taken")).alias("day"))
+
+
+@query("""
+WITH m AS (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_brand END AS mk, CASE p_size % 3 WHEN 0 THEN upper(p_brand) || ' ' || p_type WHEN 1 THEN p_type END AS md FROM part)
+SELECT p_partkey, CASE WHEN mk IS NOT NULL AND md IS NOT NULL THEN CASE WHEN starts_with(lower(md), lower(mk)) THEN md ELSE mk || ' ' || md END ELSE coalesce(md, mk) END AS camera FROM m
+""")
+def camera_name(spark, sf_dir):
+    make = F.when(F.col("p_size") % 5 > 0, F.col("p_brand"))
+    model = F.when(F.col("p_size") % 3 == 0, F.concat_ws(" ", F.upper("p_brand"), "p_type")).when(F.col("p_size") % 3 == 1, F.col("p_type"))
+    return _load(spark, sf_dir, "part").select("p_partkey", text.camera(make, model).alias("camera"))
+
+
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
+_SQL_RATIO = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE l_quantity::BIGINT END AS n, (l_linenumber - 1) * CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 100 END AS d FROM lineitem"
+
+
+def _ratios(spark, sf_dir):
+    n = F.when(F.col("l_suppkey") % 7 == 0, 0).otherwise(F.col("l_quantity")).cast("long")
+    d = (F.col("l_linenumber") - 1) * F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(100)
+    return _load(spark, sf_dir, "lineitem").select(*_KEYS, n.alias("n"), d.alias("d"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN d = 0 THEN '-' WHEN n = 0 THEN '0s' WHEN d > n THEN '1/' || floor(d::DOUBLE / n + 0.5)::BIGINT
+  ELSE printf('%.1f', n::DOUBLE / d) || 's' END AS exposure FROM ({_SQL_RATIO})""")
+def exposure_text(spark, sf_dir):
+    return _ratios(spark, sf_dir).select(*_KEYS, text.exposure_text(F.col("n"), F.col("d")).alias("exposure"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN d <> 0 THEN 'f/' || printf('%.1f', n::DOUBLE / d) END AS aperture FROM ({_SQL_RATIO})")
+def aperture_text(spark, sf_dir):
+    return _ratios(spark, sf_dir).select(*_KEYS, text.aperture_text(F.col("n"), F.col("d")).alias("aperture"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT * 3 AS a, l_linenumber AS b, l_partkey % 60 AS c, l_suppkey % 60 AS e, l_linenumber % 3 AS f,
+  CASE l_returnflag WHEN 'A' THEN 'S' WHEN 'N' THEN 'N' END AS ref FROM lineitem),
+t AS (SELECT *, a::DOUBLE / b + c::DOUBLE / 60 + CASE WHEN f = 0 THEN CASE WHEN e = 0 THEN 0 END ELSE e::DOUBLE / f / 3600 END AS v FROM p)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN ref IS NOT NULL AND v <= 90 THEN round(CASE ref WHEN 'S' THEN -v ELSE v END, 9) END AS lat FROM t
+""")
+def gps_degrees(spark, sf_dir):
+    pair = lambda n, d: F.struct(n.cast("long").alias("n"), d.cast("long").alias("d"))
+    parts = F.array(pair(F.col("l_quantity").cast("long") * 3, F.col("l_linenumber")), pair(F.col("l_partkey") % 60, F.lit(1)), pair(F.col("l_suppkey") % 60, F.col("l_linenumber") % 3))
+    ref = F.when(F.col("l_returnflag") == "A", "S").when(F.col("l_returnflag") == "N", "N")
+    return _load(spark, sf_dir, "lineitem").select(*_KEYS, F.round(text.degrees(parts, ref, 90, "S"), 9).alias("lat"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, strlen(text)::BIGINT * (doc_id % 1000) * (doc_id % 1000) * (doc_id % 7) AS n FROM documents),
+u AS (SELECT *, CASE WHEN n >= 1099511627776 THEN 4 WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS k FROM s),
+v AS (SELECT *, n / power(1024.0::DOUBLE, k) AS x FROM u)
+SELECT doc_id, CASE WHEN k = 0 THEN n || ' B' ELSE CASE WHEN x < 10 THEN printf('%.1f', x) ELSE floor(x + 0.5)::BIGINT::VARCHAR END || ' ' || (['KB', 'MB', 'GB', 'TB'])[k] END AS shown FROM v
+""")
+def human_bytes(spark, sf_dir):
+    n = F.octet_length("text").cast("long") * (F.col("doc_id") % 1000) * (F.col("doc_id") % 1000) * (F.col("doc_id") % 7)
+    return _load(spark, sf_dir, "documents").select("doc_id", text.human_bytes(n).alias("shown"))
+
+
+# HTTP ------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, '"' || printf('%016x', CASE WHEN page_id % 2 = 0 THEN 18446744073709551615::UBIGINT - (page_id * 7919)::UBIGINT ELSE (page_id * 7919)::UBIGINT END)
+  || '-' || printf('%x', 1700000000 + page_id) || '-' || printf('%x', strlen(html)) || '"' AS etag FROM pages""")
+def etag_text(spark, sf_dir):
+    id_ = F.when(F.col("page_id") % 2 == 0, -1 - F.col("page_id") * 7919).otherwise(F.col("page_id") * 7919)
+    return _load(spark, sf_dir, "pages").select("page_id", http.etag(id_, 1700000000 + F.col("page_id"), F.octet_length("html").cast("long")).alias("etag"))
+
+
+_RANGES = ["bytes=0-99", "bytes=500-", "bytes=-100", "bytes=0-99999999", "bytes=99999999-", "bytes=0-1,5-6", "bytes=-0", "items=0-5", "bytes=9-3", "bytes=x-3"]
+_SQL_RANGE = "(" + repr(_RANGES) + ")[page_id % 10 + 1]"
+
+
+@query(f"""
+WITH r AS (SELECT page_id, strlen(html)::BIGINT AS total, {_SQL_RANGE} AS h FROM pages),
+s AS (SELECT *, regexp_extract(h, '^bytes=(\\d*)-(\\d*)$', 1) AS a, regexp_extract(h, '^bytes=(\\d*)-(\\d*)$', 2) AS b, regexp_matches(h, '^bytes=(\\d+-\\d*|-\\d+)$') AS ok FROM r),
+t AS (SELECT *, CASE WHEN a = '' THEN greatest(total - try_cast(b AS BIGINT), 0) ELSE try_cast(a AS BIGINT) END AS x, CASE WHEN a = '' OR b = '' THEN total - 1 ELSE least(try_cast(b AS BIGINT), total - 1) END AS y FROM s WHERE ok)
+SELECT s.page_id, CASE WHEN x IS NULL THEN 'all' WHEN (s.a = '' AND try_cast(s.b AS BIGINT) = 0) OR x > y OR x >= s.total THEN 'bad' ELSE 'part' END AS kind,
+  CASE WHEN NOT (s.a = '' AND try_cast(s.b AS BIGINT) = 0) AND x <= y AND x < s.total THEN x END AS range_start,
+  CASE WHEN NOT (s.a = '' AND try_cast(s.b AS BIGINT) = 0) AND x <= y AND x < s.total THEN y END AS range_end
+FROM s LEFT JOIN t USING (page_id)
+""")
+def range_parse(spark, sf_dir):
+    header = F.get(F.array(*map(F.lit, _RANGES)), (F.col("page_id") % 10).cast("int"))
+    found = _load(spark, sf_dir, "pages").select("page_id", http.byte_range(header, F.octet_length("html").cast("long")).alias("r"))
+    return found.select("page_id", "r.kind", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"))
+
+
+@query("SELECT page_id, html AS decoded, url AS param FROM pages")
+def percent_decode(spark, sf_dir):
+    whole = http.percent_decode(F.replace(F.url_encode("html"), F.lit("+"), F.lit("%20")))
+    param = http.query_param(F.concat(F.lit("a=1&path="), F.url_encode("url"), F.lit("&path=2")), "path")
+    return _load(spark, sf_dir, "pages").select("page_id", whole.alias("decoded"), param.alias("param"))
+
+
+# Timeline and incremental runs -----------------------------------------------
+
+
+@query(f"SELECT event_id, row_number() OVER (ORDER BY taken DESC, rel) - 1 AS pos FROM ({_SQL_ENTRIES})")
+def timeline_order(spark, sf_dir):
+    return catalog.with_positions(_entries(spark, sf_dir)).select("event_id", "pos")
+
+
+@query(f"""
+WITH e AS (SELECT *, strftime(make_timestamp(taken * 1000000), '%Y-%m-%d') AS day, row_number() OVER (ORDER BY taken DESC, rel) AS pos FROM ({_SQL_ENTRIES}))
+SELECT day, count(*) AS n, min_by(date_source, pos) = 'mtime' AS by_mtime FROM e GROUP BY day
+""")
+def timeline_day_groups(spark, sf_dir):
+    return catalog.day_groups(catalog.with_positions(_entries(spark, sf_dir)))
+
+
+def _found_and_previous(spark, sf_dir):
+    """Documents as files; a third are unchanged in the previous run, a third changed, a third new; two sources are gone."""
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    rows = _load(spark, sf_dir, "documents").select("doc_id", "source", path.alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.col("doc_id").alias("mtime"))
+    gone = F.col("source").isin("src1", "src2")
+    old = rows.withColumn("mtime", F.col("mtime") - F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0))
+    return rows.filter(~gone | F.col("source").isNull()), old.withColumn("there", F.col("doc_id") % 3 < 2).filter("there").drop("there")
+
+
+_SQL_FILES = """
+f AS (SELECT doc_id, source, concat_ws('/', source, doc_id::VARCHAR) AS path, strlen(text)::BIGINT AS bytes, doc_id AS mtime FROM documents WHERE source NOT IN ('src1', 'src2')),
+p AS (SELECT doc_id, source, concat_ws('/', source, doc_id::VARCHAR) AS path, strlen(text)::BIGINT AS bytes, doc_id - CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS mtime FROM documents WHERE doc_id % 3 < 2)
+"""
+
+
+@query(f"WITH {_SQL_FILES} SELECT f.doc_id, CASE WHEN p.path IS NULL THEN 'decode' ELSE 'reuse' END AS action FROM f LEFT JOIN p ON f.path = p.path AND f.bytes = p.bytes AND f.mtime = p.mtime")
+def incremental_reuse(spark, sf_dir):
+    fresh, jobs = catalog.split_fresh(*_found_and_previous(spark, sf_dir))
+    return fresh.select("doc_id", F.lit("reuse").alias("action")).unionByName(jobs.select("doc_id", F.lit("decode").alias("action")))
+
+
+@query(f"WITH {_SQL_FILES} SELECT doc_id, path FROM p WHERE path NOT IN (SELECT path FROM f)")
+def deleted_rows(spark, sf_dir):
+    found, previous = _found_and_previous(spark, sf_dir)
+    return previous.join(found.select("path"), "path", "left_anti").select("doc_id", "path")
+
+
+@query(f"""
+WITH {_SQL_FILES}, j AS (SELECT f.*, p.path IS NOT NULL AS reused, CASE f.doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'nopreview' ELSE 'ok' END AS state
+  FROM f LEFT JOIN p ON f.path = p.path AND f.bytes = p.bytes AND f.mtime = p.mtime)
+SELECT count(*) AS images, count(*) FILTER (reused) AS reused, count(*) FILTER (NOT reused) AS decoded, count(*) FILTER (state = 'failed') AS failed,
+  count(*) FILTER (state = 'nopreview') AS no_preview, sum(bytes)::BIGINT AS bytes FROM j
+""")
+def run_stats(spark, sf_dir):
+    fresh, jobs = catalog.split_fresh(*_found_and_previous(spark, sf_dir))
+    rows = fresh.withColumn("reused", F.lit(True)).unionByName(jobs.withColumn("reused", F.lit(False)))
+    state = F.when(F.col("doc_id") % 5 == 0, "failed").when(F.col("doc_id") % 5 == 1, "nopreview").otherwise("ok")
+    return rows.withColumn("state", state).agg(
+        F.count(F.lit(1)).alias("images"), F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("decoded"),
+        F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "nopreview").alias("no_preview"), F.sum("bytes").alias("bytes"),
+    )
+
+
+@query(f"SELECT page_id, url AS found FROM pages WHERE {_sql_fnv('url')} IS NOT NULL")
+def point_lookup(spark, sf_dir):
+    pages = _load(spark, sf_dir, "pages").select("page_id", "url", text.fnv1a64(F.col("url")).alias("id"))
+    asked = pages.select("page_id", text.parse_hex(text.unsigned_hex(F.col("id"))).alias("wanted"))
+    return asked.join(pages.select("id", F.col("url").alias("found")), F.col("wanted") == F.col("id")).select("page_id", "found")
+
+
+# Similarity ------------------------------------------------------------------
+
+_SIGN = "list_reduce(list_transform(range(64), lambda i: (CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END)), lambda a, b: a + b)::UBIGINT"
+
+
+def _sign_bits(order=range(64)):
+    """Bit i is set where the value at order[i] is positive."""
+    out = F.lit(0).cast("long")
+    for i, k in enumerate(order):
+        out = out.bitwiseOR(F.when(F.col("embedding")[k] > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
+    return out
+
+
+def _turned(order: list[int]) -> list[int]:
+    return [order[(7 - x) * 8 + y] for y in range(8) for x in range(8)]
+
+
+def _grid_items(spark, sf_dir):
+    sign = _sign_bits()
+    return _load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.array(sign).alias("views"), sign.alias("upright"))
+
+
+_SQL_PAIRS = f"s AS (SELECT vec_id, {_SIGN} AS h FROM embeddings), e AS (SELECT a.vec_id AS i, b.vec_id AS j, bit_count(xor(a.h, b.h))::INT AS d FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= {NEAR})"
+
+
+@query(f"WITH {_SQL_PAIRS} SELECT i, j, d FROM e")
+def hamming_pairs(spark, sf_dir):
+    return similarity.similar_pairs(_grid_items(spark, sf_dir), NEAR)
+
+
+def _sql_turn(k: int) -> str:
+    order = list(range(64))
+    for _ in range(k):
+        order = _turned(order)
+    return f"list_reduce(list_transform(range(64), lambda i: (CASE WHEN embedding[({order})[i + 1] + 1] > 0 THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END)), lambda a, b: a + b)::UBIGINT"
+
+
+@query(f"""WITH s AS (SELECT vec_id, {_SIGN} AS h, {_sql_turn(1)} AS r1, {_sql_turn(2)} AS r2, {_sql_turn(3)} AS r3 FROM embeddings)
+SELECT a.vec_id, least(bit_count(xor(a.h, b.h)), bit_count(xor(a.r1, b.h)), bit_count(xor(a.r2, b.h)), bit_count(xor(a.r3, b.h)))::INT AS d
+FROM s a JOIN s b ON b.vec_id = a.vec_id + 1""")
+def rotation_distance(spark, sf_dir):
+    views, order = [], list(range(64))
+    for _ in range(4):
+        views.append(_sign_bits(order))
+        order = _turned(order)
+    rows = _load(spark, sf_dir, "embeddings")
+    left = rows.select("vec_id", F.array(*views).alias("views"))
+    right = rows.select((F.col("vec_id") - 1).alias("vec_id"), views[0].alias("upright"))
+    return left.join(right, "vec_id").select("vec_id", similarity.distance(F.col("views"), F.col("upright")).alias("d"))
+
+
+@query(f"""
+WITH RECURSIVE {_SQL_PAIRS}, both_ways AS (SELECT i, j FROM e UNION SELECT j, i FROM e), r AS (SELECT i AS node, i AS c FROM both_ways UNION SELECT b.j, r.c FROM r JOIN both_ways b ON r.node = b.i)
+SELECT node, min(c) AS component FROM r GROUP BY node
+""")
+def near_dup_components(spark, sf_dir):
+    return similarity.components(similarity.similar_pairs(_grid_items(spark, sf_dir), NEAR))
+
+
+def _signed_documents(spark, sf_dir):
+    """Every text as a raster of all its bytes, with its signature."""
+
+    def each(batches):
+        for b in batches:
+            rows = [raster.text_raster(t or b"") for t in b["t"]]
+            done = [None if px is None else raster.signature(px) for px in rows]
+            sign = [None if d is None else {"dhash": d[0] - (1 << 64) if d[0] >> 63 else d[0], "phash": d[1], "rots": d[2]} for d in done]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "bytes": [len(t or b"") for t in b["t"]], "pixels": [0 if p is None else p.size for p in rows], "sig": sign})
+
+    rows = _load(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("t"))
+    return rows.mapInPandas(each, "doc_id long, bytes long, pixels long, sig struct<dhash:bigint,phash:bigint,rots:array<bigint>>")
+
+
+@query()
+def phash_text(spark, sf_dir):
+    return _signed_documents(spark, sf_dir).select("doc_id", text.unsigned_hex(F.col("sig.phash")).alias("phash"), text.unsigned_hex(F.col("sig.dhash")).alias("dhash"))
+
+
+@query()
+def near_dup_clusters(spark, sf_dir):
+    entries = _signed_documents(spark, sf_dir).withColumnsRenamed({"doc_id": "id"}).withColumn("pos", F.col("id"))
+    return catalog.cluster_items(entries)
+
+
+def _groups(spark, sf_dir):
+    members = _load(spark, sf_dir, "documents").select(
+        F.concat_ws("/", "lang", "source").alias("cluster"), F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("bytes"), F.col("n_chars").alias("pixels"), F.col("doc_id").alias("place")
+    )
+    return similarity.summarise(members)
+
+
+_SQL_GROUPS = """g AS (SELECT list(doc_id ORDER BY doc_id) AS ids, max_by(doc_id, (n_chars, strlen(text), doc_id)) AS best,
+  (sum(strlen(text)) - max_by(strlen(text), (n_chars, strlen(text), doc_id)))::BIGINT AS wasted_bytes FROM documents GROUP BY lang, source HAVING count(*) > 1)"""
+
+
+@query(f"WITH {_SQL_GROUPS} SELECT best, wasted_bytes, len(ids)::INT AS n FROM g")
+def keeper_and_waste(spark, sf_dir):
+    return _groups(spark, sf_dir).select("best", "wasted_bytes", F.size("ids").alias("n"))
+
+
+@query(f"WITH {_SQL_GROUPS} SELECT best, wasted_bytes, rank() OVER (ORDER BY wasted_bytes DESC, best)::INT AS place, (sum(wasted_bytes) OVER ())::BIGINT AS total FROM g")
+def reclaim_ranking(spark, sf_dir):
+    order = Window.orderBy(F.desc("wasted_bytes"), text.unsigned_hex(F.col("best")))
+    total = F.sum("wasted_bytes").over(Window.partitionBy())
+    return _groups(spark, sf_dir).select("best", "wasted_bytes", F.rank().over(order).alias("place"), total.alias("total"))
+
+
+@query(f"WITH {_SQL_GROUPS}, x AS (SELECT best, unnest(ids) AS id FROM g) SELECT x.best, x.id, x.id = x.best AS keeper, d.n_chars AS pixels FROM x JOIN documents d ON d.doc_id = x.id")
+def cluster_expand(spark, sf_dir):
+    each = _groups(spark, sf_dir).select("best", F.explode("ids").alias("id"))
+    docs = _load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("pixels"))
+    return each.join(docs, "id").select("best", "id", (F.col("id") == F.col("best")).alias("keeper"), "pixels")
+
+
+@query("""WITH g AS (SELECT list(doc_id ORDER BY doc_id) AS ids, max_by(doc_id, (n_chars, strlen(text), doc_id)) AS best,
+  (sum(strlen(text)) - max_by(strlen(text), (n_chars, strlen(text), doc_id)))::BIGINT AS wasted_bytes FROM documents GROUP BY lang, source HAVING count(*) > 1)
+SELECT '{"best":"' || printf('%016x', best) || '","wasted":' || wasted_bytes || ',"ids":["' || array_to_string(list_transform(ids, lambda i: printf('%016x', i)), '","') || '"]}' AS json FROM g""")
+def clusters_json(spark, sf_dir):
+    return catalog.cluster_json(_groups(spark, sf_dir))
+
+
+@query(f"""SELECT page_id, '{{"id":"' || printf('%016x', page_id) || '","name":"' || split_part(rel, '/', -1) || '","rel":"' || rel || '","bytes":' || strlen(html) || ',"taken":' || (1700000000 + page_id * 5000)
+  || ',"day":"' || strftime(make_timestamp((1700000000 + page_id * 5000) * 1000000), '%Y-%m-%d') || '","dateSource":"mtime","format":"png","thumb":false' ||
+  CASE WHEN page_id % 3 = 0 THEN ',"exposure":"1/' || (page_id + 2) || '"' ELSE '' END || ',"aperture":"f/' || printf('%.1f', page_id / 4.0::DOUBLE) || '","gps":["' || printf('%.6f', page_id / 7.0::DOUBLE) || '","' ||
+  printf('%.6f', -page_id / 3.0::DOUBLE) || '"],"state":"ok"}}' AS json FROM (SELECT *, {_REL} AS rel FROM pages)""")
+def photos_json(spark, sf_dir):
+    rel = F.regexp_replace(text.slashes(F.col("url")), "^https?://", "")
+    ratio = lambda n, d: F.struct(n.cast("long").alias("n"), d.cast("long").alias("d"))
+    none = F.lit(None).cast("string")
+    id_ = F.col("page_id")
+    raw = F.struct(
+        none.alias("make"), none.alias("model"), none.alias("lens"), F.lit(None).cast("long").alias("iso"), F.when(id_ % 3 == 0, ratio(F.lit(1), id_ + 2)).alias("exposure"),
+        ratio(id_, F.lit(4)).alias("f_number"), F.struct((id_ / 7.0).alias("lat"), (-id_ / 3.0).alias("lon")).alias("gps"),
+    )
+    rows = _load(spark, sf_dir, "pages").select(
+        id_.alias("id"), id_.alias("pos"), rel.alias("rel"), text.last_name(rel).alias("name"), F.octet_length("html").cast("long").alias("bytes"), (1700000000 + id_ * 5000).alias("taken"),
+        F.lit("mtime").alias("date_source"), F.lit("png").alias("format"), F.lit(None).cast("binary").alias("thumb"), F.lit(None).cast("struct<w:bigint,h:bigint>").alias("dims"),
+        raw.alias("raw"), F.lit("ok").alias("state"), none.alias("reason"),
+    )
+    return catalog.photo_json(rows).select(F.col("id").alias("page_id"), "json")
+
+
+# Rasters ---------------------------------------------------------------------
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, {_sql_bytes("text")} AS x FROM documents),
+g AS (SELECT doc_id, list_transform(range(72), lambda k: coalesce(list_sum(x[(k * len(x) // 72) + 1:(k + 1) * len(x) // 72]), 0)::BIGINT // greatest((k + 1) * len(x) // 72 - k * len(x) // 72, 1)) AS g FROM b)
+SELECT doc_id, list_sum(list_transform(range(32), lambda i: CASE WHEN g[i // 8 * 9 + i % 8 + 1] > g[i // 8 * 9 + i % 8 + 2] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS low,
+  list_sum(list_transform(range(32), lambda i: CASE WHEN g[(i // 8 + 4) * 9 + i % 8 + 1] > g[(i // 8 + 4) * 9 + i % 8 + 2] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS high FROM g
+""")
+def dhash_text(spark, sf_dir):
+    def one(_, data):
+        """Bits of the 9 x 8 grid of mean bytes of equal parts of the text, by the upper and lower rows."""
+        cuts = np.arange(73) * len(data) // 72
+        sums = np.append(0, np.cumsum(np.frombuffer(data, dtype=np.uint8), dtype=np.int64))[cuts]
+        grid = (np.diff(sums) // np.maximum(np.diff(cuts), 1)).reshape(8, 9)
+        return tuple(int(x) for x in np.packbits(grid[:, :-1] > grid[:, 1:], bitorder="little").view("<u4"))
+
+    return _bytes_query(spark, sf_dir, "documents", "doc_id", "text", one, "low long, high long")
+
+
+_SQL_TRIPLES = f"b AS (SELECT page_id, {_sql_bytes('html')} AS x FROM pages), t AS (SELECT page_id, x[3 * k + 1] AS r, x[3 * k + 2] AS g, x[3 * k + 3] AS b FROM (SELECT page_id, x, unnest(range(len(x) // 3)) AS k FROM b))"
+
+
+def _pixels(data: bytes) -> np.ndarray:
+    """All whole triples of bytes as RGB pixels."""
+    return np.frombuffer(data[: len(data) // 3 * 3], dtype=np.uint8).reshape(-1, 3)
+
+
+def _counted(spark, sf_dir, count, schema: str) -> DataFrame:
+    """``count(pixels) -> arrays`` of every page's pixels, a row for each element: counts of one page, to be added up."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def each(batches):
+        for b in batches:
+            for t in b["t"]:
+                yield pd.DataFrame(dict(zip(names, count(_pixels(t or b"")), strict=True)))
+
+    return _load(spark, sf_dir, "pages").select(F.col("html").cast("binary").alias("t")).mapInPandas(each, schema)
+
+
+@query(f"WITH {_SQL_TRIPLES} SELECT page_id, count(*) AS n, sum((299 * r + 587 * g + 114 * b) // 1000)::BIGINT AS total FROM t GROUP BY page_id")
+def luma(spark, sf_dir):
+    def one(_, data):
+        px = _pixels(data)
+        return len(px), int(raster.luma(px).sum(dtype=np.int64))
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "html", one, "n long, total long").filter("n > 0")
+
+
+@query(f"WITH {_SQL_TRIPLES} SELECT (r // 8) * 1024 + (g // 8) * 32 + b // 8 AS bucket, count(*) AS n, (sum(r) // count(*))::BIGINT AS r, (sum(g) // count(*))::BIGINT AS g, (sum(b) // count(*))::BIGINT AS b FROM t GROUP BY 1")
+def colour_histogram(spark, sf_dir):
+    def count(px):
+        keys, which, n = np.unique(palette.bucket(px), return_inverse=True, return_counts=True)
+        return keys, n, *(np.bincount(which, weights=px[:, c], minlength=len(keys)).astype(np.int64) for c in range(3))
+
+    found = _counted(spark, sf_dir, count, "bucket long, n long, r long, g long, b long")
+    mean = lambda c: F.expr(f"sum({c}) div sum(n)").alias(c)
+    return found.groupBy("bucket").agg(F.sum("n").alias("n"), mean("r"), mean("g"), mean("b"))
+
+
+_PALETTE = [(0, 0, 0), (255, 255, 255), (96, 96, 96), (110, 100, 120), (60, 112, 62), (32, 101, 110), (116, 32, 97), (101, 114, 32)]
+
+
+@query(
+    f"WITH {_SQL_TRIPLES}, p AS (SELECT unnest(range({len(_PALETTE)})) AS i, unnest({[c[0] for c in _PALETTE]}) AS pr, unnest({[c[1] for c in _PALETTE]}) AS pg, unnest({[c[2] for c in _PALETTE]}) AS pb), "
+    "c AS (SELECT r, g, b, count(*) AS n FROM t GROUP BY r, g, b), m AS (SELECT n, (SELECT i FROM p ORDER BY (c.r - pr) * (c.r - pr) + (c.g - pg) * (c.g - pg) + (c.b - pb) * (c.b - pb), i LIMIT 1) AS colour FROM c) "
+    "SELECT colour::INT AS colour, sum(n)::BIGINT AS n FROM m GROUP BY colour"
+)
+def nearest_colour(spark, sf_dir):
+    def count(px):
+        colours, n = np.unique(px, axis=0, return_counts=True)
+        gaps = ((colours[:, None, :].astype(np.int64) - np.array(_PALETTE)) ** 2).sum(axis=2)
+        total = np.bincount(gaps.argmin(axis=1), weights=n, minlength=len(_PALETTE)).astype(np.int64)
+        return np.flatnonzero(total).astype(np.int32), total[total > 0]
+
+    return _counted(spark, sf_dir, count, "colour int, n long").groupBy("colour").agg(F.sum("n").alias("n"))
+
+
+_SQL_GRID = "g AS (SELECT vec_id, list_transform(embedding, lambda v: least(greatest(floor((v::DOUBLE + 1) * 127.5), 0), 255)::BIGINT) AS g FROM embeddings)"
+
+
+def _byte_grid(spark, sf_dir):
+    byte = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255))
+    return _load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", byte).alias("g"))
+
+
+@query(f"""WITH {_SQL_GRID} SELECT vec_id, array_to_string(list_transform(range(16), lambda k: (g[k // 4 * 16 + k % 4 * 2 + 1] + g[k // 4 * 16 + k % 4 * 2 + 2]
+  + g[k // 4 * 16 + k % 4 * 2 + 9] + g[k // 4 * 16 + k % 4 * 2 + 10] + 2) // 4), ',') AS halved FROM g""")
+def box_halve(spark, sf_dir):
+    def each(batches):
+        for b in batches:
+            halves = [raster.box_halve(np.asarray(g, dtype=np.uint8).reshape(8, 8)).ravel() for g in b["g"]]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "halved": [",".join(map(str, h.tolist())) for h in halves]})
+
+    return _byte_grid(spark, sf_dir).mapInPandas(each, "vec_id long, halved string")
+
+
+@query()
+def bilinear(spark, sf_dir):
+    def each(batches):
+        for b in batches:
+            small = [raster.bilinear(np.asarray(g, dtype=np.uint8).reshape(8, 8), 5, 3).ravel() for g in b["g"]]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "sampled": [",".join(map(str, s.tolist())) for s in small]})
+
+    return _byte_grid(spark, sf_dir).mapInPandas(each, "vec_id long, sampled string")
+
+
+@query(f"""WITH {_SQL_GRID} SELECT vec_id, array_to_string(list_transform(range(64), lambda k: g[CASE vec_id % 8 + 1 WHEN 2 THEN k // 8 * 8 + 7 - k % 8 WHEN 3 THEN 63 - k WHEN 4 THEN (7 - k // 8) * 8 + k % 8
+  WHEN 5 THEN k % 8 * 8 + k // 8 WHEN 6 THEN (7 - k % 8) * 8 + k // 8 WHEN 7 THEN (7 - k % 8) * 8 + 7 - k // 8 WHEN 8 THEN k % 8 * 8 + 7 - k // 8 ELSE k END + 1]), ',') AS upright FROM g""")
+def orientation(spark, sf_dir):
+    def each(batches):
+        for b in batches:
+            turned = [raster.orient(np.asarray(g, dtype=np.uint8).reshape(8, 8), int(v) % 8 + 1).ravel() for v, g in zip(b["vec_id"], b["g"], strict=True)]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "upright": [",".join(map(str, t.tolist())) for t in turned]})
+
+    return _byte_grid(spark, sf_dir).mapInPandas(each, "vec_id long, upright string")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, (CASE WHEN w <= 256 AND h <= 256 THEN w WHEN w >= h THEN 256 ELSE greatest(w * 256 // h, 1) END)::BIGINT AS tw,
+  (CASE WHEN w <= 256 AND h <= 256 THEN h WHEN w >= h THEN greatest(h * 256 // w, 1) ELSE 256 END)::BIGINT AS th FROM (SELECT *, l_partkey + 1 AS w, l_suppkey * 9 + 1 AS h FROM lineitem)""")
+def thumbnail_fit(spark, sf_dir):
+    rows = _load(spark, sf_dir, "lineitem").select(*_KEYS, (F.col("l_partkey") + 1).alias("w"), (F.col("l_suppkey") * 9 + 1).alias("h"))
+    small, wide = F.expr("w <= 256 and h <= 256"), F.expr("w >= h")
+    tw = F.when(small, F.col("w")).when(wide, F.lit(256)).otherwise(F.expr("greatest(w * 256 div h, 1)"))
+    th = F.when(small, F.col("h")).when(wide, F.expr("greatest(h * 256 div w, 1)")).otherwise(F.lit(256))
+    return rows.select(*_KEYS, tw.alias("tw"), th.alias("th"))
+
+
+# Checksums and codecs --------------------------------------------------------
+
+
+@query()
+def crc32(spark, sf_dir):
+    return _load(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_sql_bytes("text")} AS x FROM documents)
+SELECT doc_id, ((len(x) + coalesce(list_sum(list_transform(x, lambda v, i: v * (len(x) - i + 1))), 0)) % 65521 * 65536 + (1 + coalesce(list_sum(x), 0)) % 65521)::BIGINT AS adler FROM b""")
+def adler32(spark, sf_dir):
+    return _bytes_query(spark, sf_dir, "documents", "doc_id", "text", lambda _, data: (zlib.adler32(data),), "adler long")
+
+
+def _bytes_query(spark, sf_dir, table: str, key: str, column: str, one, schema: str) -> DataFrame:
+    """``one(key, bytes) -> tuple`` of every row's bytes."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def each(batches):
+        for b in batches:
+            rows = [one(k, t or b"") for k, t in zip(b[key].tolist(), b["t"], strict=True)]
+            made = pd.DataFrame(rows, columns=names) if rows else pd.DataFrame(columns=names)
+            yield pd.concat([b[[key]].reset_index(drop=True), made], axis=1)
+
+    return _load(spark, sf_dir, table).select(key, F.col(column).cast("binary").alias("t")).mapInPandas(each, f"{key} long, {schema}")
+
+
+def _page_raster(data: bytes) -> np.ndarray:
+    grey = raster.text_raster(data + bytes(-len(data) % 3))
+    flat = np.frombuffer(data + bytes(-len(data) % 3), dtype=np.uint8).reshape(-1, 3)
+    width = max(grey.shape[1] // 2, 1)
+    out = np.zeros((-(-len(flat) // width), width, 3), dtype=np.uint8)
+    out.reshape(-1, 3)[: len(flat)] = flat
+    return out
+
+
+@query("SELECT page_id, true AS same, true AS palette_same FROM pages")
+def png_roundtrip(spark, sf_dir):
+    def one(_, data):
+        px = _page_raster(data)
+        colours, index, exact = palette.quantise(px)
+        drawn = png.decode(png.encode_palette(colours, index))
+        return bool((png.decode(png.encode(px)) == px).all()), bool((drawn == colours[index]).all() and (not exact or (drawn == px).all()))
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "html", one, "same boolean, palette_same boolean")
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS n, true AS same FROM documents")
+def zlib_roundtrip(spark, sf_dir):
+    def one(_, data):
+        back = png.inflate(zlib.compress(data), len(data))
+        return len(back), back == data
+
+    return _bytes_query(spark, sf_dir, "documents", "doc_id", "text", one, "n long, same boolean")
+
+
+def write_gif(index: np.ndarray, colours: np.ndarray) -> bytes:
+    """A GIF without compression: a clear code before the codes would widen."""
+    h, w = index.shape
+    bits, count, n = 0, 0, 0
+    for v in index.ravel().tolist():
+        if n % 250 == 0:
+            bits |= 256 << count
+            count += 9
+        bits |= v << count
+        count, n = count + 9, n + 1
+    bits |= 257 << count
+    packed = bits.to_bytes((count + 16) // 8, "little")
+    blocks = b"".join(bytes([len(packed[i : i + 255])]) + packed[i : i + 255] for i in range(0, len(packed), 255))
+    table = np.zeros((256, 3), dtype=np.uint8)
+    table[: len(colours)] = colours
+    return b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + table.tobytes() + b"," + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08" + blocks + b"\0;"
+
+
+@query("SELECT page_id, true AS same FROM pages")
+def gif_decode(spark, sf_dir):
+    def one(_, data):
+        grey = raster.text_raster(data or b"\0")
+        ramp = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+        return (bool((gif.decode(write_gif(grey, ramp)) == ramp[grey]).all()),)
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "html", one, "same boolean")
+
+
+def write_flat_jpeg(means: np.ndarray) -> bytes:
+    """A grey JPEG of blocks of one brightness each: only their first coefficients."""
+    out, before = [], 0
+    for v in ((means.astype(int) - 128) * 8).ravel().tolist():
+        diff, before = v - before, v
+        size = abs(diff).bit_length()
+        out.append(f"{size:04b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "") + "0")
+    bits = "".join(out)
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+    part = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    h, w = means.shape
+    tables = part(0xC4, b"\0" + bytes([0, 0, 0, 12]) + bytes(12) + bytes(range(12))) + part(0xC4, b"\x10" + bytes([1]) + bytes(15) + b"\0")
+    head = part(0xDB, b"\0" + b"\1" * 64) + part(0xC0, struct.pack(">BHHB", 8, 8 * h, 8 * w, 1) + b"\1\x11\0") + tables
+    return b"\xff\xd8" + head + part(0xDA, b"\1\1\0\0\x3f\0") + scan + b"\xff\xd9"
+
+
+@query("SELECT page_id, true AS same FROM pages")
+def jpeg_decode(spark, sf_dir):
+    def one(_, data):
+        grey = raster.text_raster(data or b"\0")
+        small = raster.resize(grey, min(grey.shape[1], 24), min(grey.shape[0], 24))
+        wanted = np.kron(small, np.ones((8, 8), dtype=np.uint8))
+        return (bool((jpeg.decode(write_flat_jpeg(small))[..., 0] == wanted).all()),)
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "html", one, "same boolean")
+
+
+def write_exif_jpeg(make: str, date: str, orientation: int, order: str = "<") -> bytes:
+    """A JPEG header with a make, a date and an orientation in its first directory."""
+    texts, at, body, entries = [], 8 + 2 + 3 * 12 + 4, b"", []
+    for tag, value in ((0x010F, make), (0x0132, date)):
+        raw = value.encode() + b"\0"
+        inline = len(raw) <= 4
+        entries.append(struct.pack(order + "HHI", tag, 2, len(raw)) + (raw.ljust(4, b"\0") if inline else struct.pack(order + "I", at + len(body))))
+        body += b"" if inline else raw
+    texts.append(struct.pack(order + "HHIHH", 0x0112, 3, 1, orientation, 0))
+    tiff = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IH", 8, 3) + b"".join(entries + texts) + struct.pack(order + "I", 0) + body
+    segment = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(segment) + 2) + segment + b"\xff\xd9"
+
+
+@query("SELECT page_id, url AS make, strftime(make_timestamp((1700000000 + page_id * 5000) * 1000000), '%Y:%m:%d %H:%M:%S') AS modified, (page_id % 8 + 1)::INT AS orientation FROM pages")
+def exif_extract(spark, sf_dir):
+    def one(key, data):
+        date = pd.Timestamp(1700000000 + key * 5000, unit="s").strftime("%Y:%m:%d %H:%M:%S")
+        found = exif.parse(write_exif_jpeg(data.decode(), date, key % 8 + 1, "<>"[key % 2]))
+        return found["make"], found["modified"], found["orientation"]
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "url", one, "make string, modified string, orientation int")
+
+
+# QR --------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN strlen(url) + 2 <= 55 THEN 3 WHEN strlen(url) + 2 <= 80 THEN 4 END AS version FROM pages")
+def qr_version(spark, sf_dir):
+    n = F.octet_length("url") + 2
+    return _load(spark, sf_dir, "pages").select("page_id", F.when(n <= 55, 3).when(n <= 80, 4).alias("version"))
+
+
+@query("""SELECT page_id, (CASE page_id % 8 WHEN 0 THEN (i + j) % 2 WHEN 1 THEN i % 2 WHEN 2 THEN j % 3 WHEN 3 THEN (i + j) % 3 WHEN 4 THEN (i // 2 + j // 3) % 2 WHEN 5 THEN (i * j) % 2 + (i * j) % 3
+  WHEN 6 THEN ((i * j) % 2 + (i * j) % 3) % 2 ELSE ((i + j) % 2 + (i * j) % 3) % 2 END) = 0 AS flips FROM (SELECT page_id, page_id % 29 AS i, strlen(html) % 29 AS j FROM pages)""")
+def qr_mask(spark, sf_dir):
+    def one(key, data):
+        return (bool(qr.mask(key % 8, 29)[key % 29, len(data) % 29]),)
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "html", one, "flips boolean")
+
+
+@query()
+def qr_matrix(spark, sf_dir):
+    def one(_, data):
+        m = qr.encode(data)
+        return (0, None) if m is None else (len(m), "".join("1" if v else "0" for v in m.ravel()))
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "url", one, "size int, modules string")
+
+
+@query()
+def rs_codewords(spark, sf_dir):
+    def one(_, data):
+        found = qr.pick_version(len(data))
+        return (None if found is None else qr.codewords(data, *found[1:]).hex(),)
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "url", one, "words string")
+
+
+# Streams ---------------------------------------------------------------------
+
+
+@query("SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
+def stream_reindex(spark, sf_dir):
+    """The documents table as a stream of files, indexed in micro-batches; totals are those of the batch."""
+    schema = _load(spark, sf_dir, "documents").schema
+    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    rows = reindex.file_stream(spark, f"{sf_dir}/documents.parquet*", schema).select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    reindex.drain(rows, lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/index/batch={batch}"), f"{base}/state")
+    done = spark.read.parquet(f"{base}/index")
+    return done.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
