@@ -100,14 +100,19 @@ def epoch_seconds(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Co
 
 def parse_exif_datetime(raw: Column) -> Column:
     """Seconds of ``YYYY:MM:DD hh:mm:ss`` by position; separators may be anything, day 31 is in every month and second 60 in every minute."""
-    text = F.btrim(F.regexp_replace(raw, "\\x00+$", ""), F.lit(" \t\n\x0b\x0c\r"))
+    marks = F.lit(" \t\n\x0b\x0c\r")
 
-    def field(at: int, n: int) -> Column:
-        return F.btrim(F.substring(text, at + 1, n), F.lit(" \t\n\x0b\x0c\r")).try_cast("long")
+    def seconds(text: Column) -> Column:
+        fields = F.array(*(F.btrim(F.substring(text, at + 1, n), marks).try_cast("long") for at, n in ((0, 4), (5, 2), (8, 2), (11, 2), (14, 2), (17, 2))))
+        return F.when(F.octet_length(text) >= 19, F.get(F.transform(F.array(fields), checked), F.lit(0)))
 
-    y, mo, d, h, mi, s = (field(*x) for x in ((0, 4), (5, 2), (8, 2), (11, 2), (14, 2), (17, 2)))
-    valid = (F.octet_length(text) >= 19) & (y >= 1826) & mo.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 60)
-    return F.when(valid, epoch_seconds(F.when(valid, y), F.when(valid, mo), d, h, mi, s))
+    def checked(x: Column) -> Column:
+        y, mo, d, h, mi, s = (x[i] for i in range(6))
+        valid = (y >= 1826) & mo.between(1, 12) & d.between(1, 31) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 60)
+        return F.when(valid, epoch_seconds(y, mo, d, h, mi, s))
+
+    # through arrays of one, so that each step is worked out once and the generated code stays small
+    return F.get(F.transform(F.array(F.btrim(F.regexp_replace(raw, "\\x00+$", ""), marks)), seconds), F.lit(0))
 
 
 def day_text(seconds: Column) -> Column:

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +139,8 @@ def clusters(items: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     never leave a connected component of the similar pairs, so each component is
     merged on its own.
     """
-    pairs = similar_pairs(items, threshold)
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = similar_pairs(items, threshold).persist(StorageLevel.MEMORY_AND_DISK)
     found = components(pairs)
     flat = F.flatten(F.sort_array(F.collect_list(F.array(F.col("j"), F.col("d").cast("long")))))
     near = pairs.groupBy("i").agg(flat.alias("near"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ def with_positions(entries: DataFrame) -> DataFrame:
 
 def cluster_items(entries: DataFrame, threshold: int = similarity.DEFAULT_THRESHOLD) -> DataFrame:
     """(ids, best, wasted_bytes) of ``entries(pos, id, sig, bytes, pixels)``."""
+    entries = entries.select("pos", "id", "sig", "bytes", "pixels").persist(StorageLevel.MEMORY_AND_DISK)
     views = F.concat(F.array("sig.phash"), F.col("sig.rots"))
     items = entries.filter("sig is not null").select(F.col("pos").alias("ord"), views.alias("views"), F.col("sig.phash").alias("upright"))
     members = similarity.clusters(items, threshold).join(entries.select(F.col("pos").alias("ord"), "id", "bytes", "pixels"), "ord")

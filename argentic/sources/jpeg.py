@@ -289,7 +289,7 @@ def decode(data: bytes) -> np.ndarray:
                 if frame is None:
                     raise ImageError("bad field: scan before frame")
                 _scan(data, at, frame, body, dcs, acs, interval)
-        except (IndexError, struct.error, ValueError) as e:
+        except (IndexError, OverflowError, struct.error, ValueError) as e:
             raise e if isinstance(e, ImageError) else ImageError(f"bad segment {kind:#x}") from e
     if frame is None:
         raise ImageError("truncated: no frame")
