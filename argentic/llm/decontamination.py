@@ -103,8 +103,8 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, share: float =
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     """The documents that contain no item, all columns kept."""
-    bad = find_items(docs, items, width, share).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = find_items(docs, items, width, share).select(F.col("doc_id").alias("contaminated_id__")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("contaminated_id__")), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir):

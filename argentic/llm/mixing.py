@@ -80,8 +80,9 @@ def mix_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: every row as often as mix_counts says, with the columns of ``docs``."""
+    packed = docs.select("doc_id", "text", "source", F.struct("*").alias("row_"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mix_counts(docs, seed).filter("copies > 0").withColumn("copy_", copy).select(*docs.columns)
+    return mix_counts(packed, seed).filter("copies > 0").withColumn("copy_", copy).select("row_.*")
 
 
 def op2_mixing(spark, sf_dir):

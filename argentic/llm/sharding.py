@@ -66,20 +66,36 @@ def _least(edges: np.ndarray, solid: np.ndarray | None, shards: int, low: int) -
     return low
 
 
+def _even(sizes: np.ndarray, shards: int) -> float:
+    """The even share of what is left once groups larger than it have shards of their own."""
+    large = 0
+    for size in np.sort(sizes)[::-1]:
+        share = sizes.sum() / max(shards - large, 1)
+        if large >= shards - 1 or size <= share:
+            return share
+        large, sizes = large + 1, np.delete(sizes, np.argmax(sizes))
+    return 0.0
+
+
 def _cut(edges: np.ndarray, shards: int, capacity: int) -> list[int]:
-    """Cuts under the capacity, each as near to an even share of what is left as the capacity lets it be."""
-    total = int(edges[-1])
+    """Cuts under the capacity, as even as it lets them be; a group larger than an even share has its own shard if it can."""
+    total, sizes = int(edges[-1]), np.diff(edges)
     need = [total]  # from here on, the shards that follow suffice
     for _ in range(shards - 1):
         need.append(int(edges[np.searchsorted(edges, need[-1] - capacity, side="left")]))
     need = need[::-1]  # need[j]: least end of shard j
     cuts, at = [], 0
     for j in range(shards - 1):
-        least, most = max(need[j], at), max(at, _step(edges, None, at, capacity))
-        ideal = at + (total - at) / (shards - j)
-        i = int(np.searchsorted(edges, ideal))
-        near = min((int(edges[x]) for x in (i - 1, i) if 0 <= x < len(edges)), key=lambda e: abs(e - ideal))
-        at = min(max(near, least), most)
+        i = int(np.searchsorted(edges, at))
+        rest = sizes[i:]
+        share = _even(rest, shards - j)
+        large = np.flatnonzero(rest > share) if len(rest) else rest
+        run = int(edges[i + large[0]]) - at if len(large) else total - at
+        parts = max(round(run / share), 1) if share else 1
+        ideal = at + (run / min(parts, shards - j) if run else int(rest[0]) if len(rest) else 0)
+        near = int(np.searchsorted(edges, ideal))
+        end = min((int(edges[x]) for x in (near - 1, near) if 0 <= x < len(edges)), key=lambda e: abs(e - ideal))
+        at = min(max(end, need[j], at), max(at, _step(edges, None, at, capacity)))
         cuts.append(at)
     return cuts
 

@@ -272,8 +272,8 @@ def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of similar documents, that of the least doc_id; all columns stay."""
     scratch = Scratch(docs.sparkSession)
     groups = scratch.save(similar_groups(docs, width, share))
-    first = scratch.save(groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("d_"), F.col("x.h").alias("h_")))
-    same = F.col("doc_id").eqNullSafe(F.col("d_")) & (F.xxhash64("text") == F.col("h_"))
+    first = scratch.save(groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("kept_id__"), F.col("x.h").alias("kept_h__")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id__")) & (F.xxhash64("text") == F.col("kept_h__"))
     kept = docs.join(first, same, "left_semi")
     repeated = groups.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

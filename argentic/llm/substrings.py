@@ -256,25 +256,25 @@ def _covered(runs: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), stop[np.append(new[1:], len(stop)) - 1].tolist(), strict=True))
 
 
-def _with_spans(docs: DataFrame, window: int, make, schema: str) -> DataFrame:
+def _with_spans(docs: DataFrame, window: int, make, fields: dict[str, str], types: list[pa.DataType]) -> DataFrame:
     """``make(text, spans) -> tuple`` of every document and its repeated byte spans."""
     scratch = Scratch(docs.sparkSession)
     runs = repeated_runs(docs, window, scratch)
     packed = runs.groupBy("doc_id", "h").agg(F.collect_list("run").alias("runs")).select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), "runs")
     joined = _rows(docs).join(packed, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_")), "left").select("doc_id", "t", "runs")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    names = list(fields)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, runs_ in zip(_texts(b.column(1)), b.column(2), strict=True):
                 out.append(make(text, _covered(runs_.values.to_numpy(), window) if runs_.is_valid else []))
-            columns = [pa.array(list(x)) for x in zip(*out, strict=True)]
+            columns = [pa.array(list(x), type=kind_) for x, kind_ in zip(zip(*out, strict=True), types, strict=True)] if out else []
             if columns:
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *names])
 
-    return joined.mapInArrow(each, f"doc_id {kind}, {schema}")
+    return joined.mapInArrow(each, ", ".join([f"doc_id {kind}", *(f"{n} {x}" for n, x in fields.items())]))
 
 
 def _kept(text: bytes, removed: list[tuple[int, int]]) -> bytes:
@@ -293,7 +293,8 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
     count.  Null and short texts lose nothing; equal rows repeat one another.
     Other columns of docs are not read.
     """
-    return _with_spans(docs, window, lambda t, s: (_kept(t, s), [{"start": a, "end": b} for a, b in s]), "kept binary, spans array<struct<start:long,end:long>>")
+    types = [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    return _with_spans(docs, window, lambda t, s: (_kept(t, s), [{"start": a, "end": b} for a, b in s]), {"kept": "binary", "spans": "array<struct<start:long,end:long>>"}, types)
 
 
 def repeat_digest(docs: DataFrame, window: int = 200) -> DataFrame:
@@ -302,7 +303,8 @@ def repeat_digest(docs: DataFrame, window: int = 200) -> DataFrame:
     def make(text: bytes, removed: list[tuple[int, int]]) -> tuple:
         return len(text), sum(b - a for a, b in removed), len(removed), hashlib.sha256(_kept(text, removed)).hexdigest()
 
-    return _with_spans(docs, window, make, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    fields = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    return _with_spans(docs, window, make, fields, [pa.int64()] * 3 + [pa.string()])
 
 
 def op4_substrings(spark, sf_dir):
