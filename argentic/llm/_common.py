@@ -40,12 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that Spark hands to Python at a time: whole texts, of which both sides hold a batch for each running task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS at most from now on; a session that asks for smaller ones keeps them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what came before."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        small_batches(spark)
         atexit.register(self._forget)
 
     def save(self, df: DataFrame, packed: bool = False) -> DataFrame:

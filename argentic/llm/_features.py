@@ -9,7 +9,7 @@ import numpy as np
 from ._anchors import Rolling, U, mix
 
 #: Bytes looked at together.  A longer text is read in pieces of this size, cut after white space where there is some.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold, load
+from ._common import fold, load, small_batches
 from ._features import byte_grams, grouped, sums_by_row
 
 BITS = 15
@@ -49,6 +49,7 @@ def train(texts: list[bytes | None], langs: list[str]) -> tuple[list[str], np.nd
 
 
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[list[str], bytes]:
+    small_batches(docs.sparkSession)
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()  # the bound of the sample
     texts = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max(F.struct("lang", "text")).alias("x"))

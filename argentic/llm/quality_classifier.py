@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold, load
+from ._common import fold, load, small_batches
 from ._features import byte_grams, grouped, sums_by_row, word_grams
 
 BITS = 16
@@ -46,7 +46,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
         for bucket, _, _ in _features([t]):
             total += np.bincount(bucket, minlength=1 << BITS)
         ids = np.flatnonzero(total)
-        docs.append((ids.astype(np.int32), total[ids] / (total.sum() + PADDING)))
+        docs.append((ids.astype(np.int32), (total[ids] / (total.sum() + PADDING)).astype(np.float32)))
     table = rng.uniform(-1 / VECTOR, 1 / VECTOR, (1 << BITS, VECTOR)).astype(np.float32)
     out, bias = np.zeros((VECTOR, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     for done in range(PASSES):
@@ -68,6 +68,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> bytes:
     """The model learned from labelled rows where ``usable`` (a Boolean of doc_id) holds; labels other than 0 and 1 are left out."""
+    small_batches(docs.sparkSession)
     labelled = labels.filter(usable & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound of the sample
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.max("t").alias("t"))
