@@ -64,7 +64,11 @@ def _bands(items: DataFrame, threshold: int, bands: int = 4) -> DataFrame:
     width = 64 // bands
     cut = lambda x, b: F.shiftrightunsigned(x, b * width).bitwiseAND(F.lit((1 << width) - 1))
     near = F.array(*map(F.lit, _masks(width, threshold // bands)))
-    probe = F.flatten(F.transform("views", lambda v: F.flatten(F.array(*(F.transform(near, lambda m, b=b: F.struct(F.lit(b).alias("b"), cut(v, b).bitwiseXOR(m).alias("k"))) for b in range(bands))))))
+
+    def around(view: Column, band: int) -> Column:
+        return F.transform(near, lambda m: F.struct(F.lit(band).alias("b"), cut(view, band).bitwiseXOR(m.cast("long")).alias("k")))
+
+    probe = F.flatten(F.transform("views", lambda v: F.flatten(F.array(*(around(v, b) for b in range(bands))))))
     build = F.array(*(F.struct(F.lit(b).alias("b"), cut(F.col("upright"), b).alias("k")) for b in range(bands)))
     left = items.select(F.col("ord").alias("i"), "views", F.explode(F.array_distinct(probe)).alias("key"))
     right = items.select(F.col("ord").alias("j"), "upright", F.explode(build).alias("key"))
