@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, load
@@ -154,12 +154,15 @@ def op3_simhash(spark, sf_dir):
 #: At a similarity of 0.8 some ten of a SimHash's 64 bits differ, so no byte need be intact and the guaranteed count is
 #: zero.  So a wide fingerprint has a SimHash of 8 bits for each of POSITIONS samples of the shingles; a sample is the
 #: shingle of least hash, so two texts agree in a byte as often as they are similar.  RUNS posting keys have RUN bytes
-#: each: texts of similarity 0.8 share none of them once in 120 times, of 0.9 once in 50,000.
-POSITIONS, RUN, RUNS = 64, 5, 12
+#: each: texts of similarity 0.8 share none of them once in 4,500 times, of 0.9 once in 26 million.
+POSITIONS, RUN, RUNS = 64, 4, 16
 #: Pairs with fewer equal bytes are not verified: 3.5 standard deviations below what a similarity of 0.8 gives.
 LEAST_EQUAL = 40
 #: All pairs of so short a posting list are candidates; in a longer one each entry is paired with HUBS others.
 LISTED, HUBS = 24, 3
+#: Entries that the hubs of a long list don't reach are held against the whole list: rows of a block, and pairs of each
+#: that are verified before all others.
+BLOCK_ROWS, BEST = 512, 16
 _WAYS = np.random.default_rng(11).integers(0, 1 << 63, (2, POSITIONS), dtype=U) * U(2) + U(1)
 
 
@@ -245,6 +248,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, share: float) -> D
     return joined.mapInPandas(each, "a long, b long")
 
 
+def _blocks(entries: DataFrame, rows: str) -> DataFrame:
+    """``entries(key, h, root, fp)`` in blocks of about BLOCK_ROWS rows; ``rows`` counts those of the key."""
+    block = F.pmod(F.xxhash64("h"), F.ceil(F.col(rows) / BLOCK_ROWS))
+    one = F.struct("h", "root", "fp")
+    return entries.withColumn("block", block).groupBy("key", "block").agg(F.collect_list(one).alias("held")).select("key", "held")
+
+
+def _compare_blocks(ones: DataFrame, others: DataFrame, best: int | None) -> DataFrame:
+    """(a, b, equal): pairs of different roots and enough equal bytes, only the ``best`` of each row of a block if given."""
+    joined = ones.withColumnRenamed("held", "x").join(others.select(F.col("key").alias("key_"), F.col("held").alias("y")), F.col("key") == F.col("key_"))
+    parts = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("h", "root", "fp")]
+
+    def unpack(row, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fps = np.frombuffer(b"".join(row[f"{side}_fp"]), dtype=np.uint8).reshape(-1, POSITIONS)
+        return np.asarray(row[f"{side}_h"], dtype=np.int64), np.asarray(row[f"{side}_root"], dtype=np.int64), fps
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                (h, root, fps), (others_h, others_root, others_fps) = unpack(row, "x"), unpack(row, "y")
+                for i in range(0, len(h), 32):
+                    equal = (fps[i : i + 32, None, :] == others_fps[None, :, :]).sum(axis=2, dtype=np.int16)
+                    equal[root[i : i + 32, None] == others_root[None, :]] = 0
+                    if best and equal.shape[1] > best:
+                        equal[equal < -np.partition(-equal, best - 1, axis=1)[:, best - 1 : best]] = 0
+                    at, to = np.nonzero(equal >= LEAST_EQUAL)
+                    if len(at):
+                        yield pd.DataFrame({"a": h[i + at], "b": others_h[to], "equal": equal[at, to].astype(np.int32)})
+
+    return joined.select(*parts).mapInPandas(each, "a long, b long, equal int")
+
+
+def _outsiders(postings: DataFrame, nodes: DataFrame, roots: DataFrame, best: int | None, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that the hubs of long posting lists left open.
+
+    Most entries of a list are of one group by now.  All others are held against
+    the whole list, in blocks, so every pair of different groups that shares a
+    key is tallied; only pairs of enough equal bytes become rows.
+    """
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LISTED).withColumnRenamed("key", "k_")
+    met = postings.join(lists, F.col("key") == F.col("k_")).select("key", "h", "n")
+    met = scratch.save(met.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("root")))
+    shares = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"), F.first("n").alias("n"))
+    main = shares.groupBy("key").agg(F.max_by("root", F.struct("part", "root")).alias("main"), (F.first("n") - F.max("part")).alias("r"))
+    main = main.filter("r > 0").withColumnRenamed("key", "k_")
+    fps = nodes.select(F.col("h").alias("h_"), "fp")
+    open_ = met.join(main, F.col("key") == F.col("k_")).select("key", "h", "n", "root", "main", "r")
+    open_ = scratch.save(open_.join(fps, F.col("h") == F.col("h_")).drop("h_"))
+    scratch.drop(met)
+    pairs = _compare_blocks(_blocks(open_.filter("root <> main"), "r"), _blocks(open_, "n"), best)
+    if best:
+        order = Window.partitionBy("a").orderBy(F.desc("equal"), "b")
+        pairs = pairs.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= best)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     """(doc_id, h, root): documents of one root are linked by texts whose word shingles are similar to ``share`` or more.
 
@@ -258,13 +317,23 @@ def similar_groups(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataF
     nodes = scratch.save(wide.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     scratch.drop(wide)
     postings = scratch.save(nodes.select(F.explode("keys").alias("key"), "h"))
-    pairs = scratch.save(_tallied(_candidates(postings), nodes.select("h", "fp")))
-    scratch.drop(postings, nodes)
-    wanted = scratch.save(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct())
-    texts = scratch.save(rows.select("h", "t").join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("t").alias("t")))
-    links = scratch.save(_verified(pairs, texts, width, share))
-    scratch.drop(texts, wanted)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        wanted = scratch.save(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct())
+        texts = scratch.save(rows.select("h", "t").join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+        found = scratch.save(_verified(pairs, texts, width, share))
+        scratch.drop(texts, wanted)
+        return found
+
+    links = links_of(scratch.save(_tallied(_candidates(postings), nodes.select("h", "fp"))))
     roots = connected_components(links, scratch)
+    for best in (BEST, None):  # likely links first, so that few texts are left to hold against all others
+        pairs = scratch.save(_outsiders(postings, nodes, roots, best, scratch))
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(links_of(pairs))
+        roots = connected_components(links, scratch)
+    scratch.drop(postings, nodes)
     return ids.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
 

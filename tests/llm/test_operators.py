@@ -154,6 +154,27 @@ def test_similar_documents_are_grouped(spark, docs, texts):
     assert kept == sorted(set(want.values()))
 
 
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """Copies with random changes, whose similarities lie on both sides of 0.8, under lists that count as long."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        ws = list(base)
+        for at in rng.choice(200, 2 + i % 5, replace=False):
+            ws[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(ws)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    want = components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    monkeypatch.setattr(simhash, "LISTED", 2)
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(simhash, "BEST", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect())
+    assert kept == sorted(set(want.values())) and 1 < len(kept) < 120
+
+
 @pytest.mark.parametrize("listed,tile", [(64, substrings.TILE), (1, substrings.TILE), (64, 700)])
 def test_repeats(docs, texts, listed, tile, monkeypatch):
     monkeypatch.setattr(substrings, "LISTED", listed)
