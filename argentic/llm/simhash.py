@@ -154,10 +154,10 @@ def op3_simhash(spark, sf_dir):
 #: At a similarity of 0.8 some ten of a SimHash's 64 bits differ, so no byte need be intact and the guaranteed count is
 #: zero.  So a wide fingerprint has a SimHash of 8 bits for each of POSITIONS samples of the shingles; a sample is the
 #: shingle of least hash, so two texts agree in a byte as often as they are similar.  RUNS posting keys have RUN bytes
-#: each: texts of similarity 0.8 share none of them once in 4,500 times, of 0.9 once in 26 million.
-POSITIONS, RUN, RUNS = 64, 4, 16
+#: each, from the first positions; all positions are tallied: texts of similarity 0.8 share none of them once in 4,500 times, of 0.9 once in 26 million.
+POSITIONS, RUN, RUNS = 256, 4, 16
 #: Pairs with fewer equal bytes are not verified: 3.5 standard deviations below what a similarity of 0.8 gives.
-LEAST_EQUAL = 40
+LEAST_EQUAL = 182
 #: All pairs of so short a posting list are candidates; in a longer one each entry is paired with HUBS others.
 LISTED, HUBS = 24, 3
 #: Entries that the hubs of a long list don't reach are held against the whole list: rows of a block, and pairs of each
