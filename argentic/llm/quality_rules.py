@@ -4,11 +4,13 @@ DataFrame operations only.  References are histograms over the whole corpus, one
 for each language that has a list of common words here: shares of character
 classes, and shares of each common word and of all others.  A document is held
 against every reference, and its distance is the least Jensen-Shannon distance
-(square root of the divergence, base 2, 0 to 1).
+(square root of the divergence, base 2, 0 to 1).  Against common words the limit
+is set for each language from the distance of a text without any of them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,9 @@ MIN_WORDS_FOR_COMMON = 60
 #: Distances above which a document is unlike all languages.
 MAX_CLASS_DISTANCE = 0.20
 MAX_COMMON_DISTANCE = 0.60
+#: Share of the distance that a text without common words has from a language, which is itself out of the limit above
+#: where they are a quarter of all words (0.38): beyond this share a document is unlike the language too.
+MAX_OF_WORDLESS = 0.875
 #: Character classes, each by the characters that make it up; all others are "rest".
 CLASSES = {
     "small": "abcdefghijklmnopqrstuvwxyz",
@@ -133,6 +138,14 @@ def common_references(counts: DataFrame, common: DataFrame) -> dict[str, dict[st
     return dict(sorted(out.items()))
 
 
+def common_limit(reference: dict[str, float]) -> float:
+    """The distance from a language's common words above which a text is unlike it."""
+    rest = 1 - sum(reference.values())
+    middle = (1 + rest) / 2
+    divergence = (1 - rest) / 2 - math.log2(middle) / 2 + (rest * math.log2(rest / middle) / 2 if rest > 0 else 0.0)
+    return min(MAX_COMMON_DISTANCE, MAX_OF_WORDLESS * math.sqrt(divergence))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """The counts of every document with class_distance, common_distance, base_failed and kept.
 
@@ -167,9 +180,11 @@ def judge(docs: DataFrame) -> DataFrame:
         listed, heard_ = F.coalesce(F.col(f"p_{lang}"), F.lit(0.0)), sum(own.values())
         distances.append(_distance(F.coalesce(F.col(f"d_{lang}"), F.lit(0.0)) + heard_ / 2 + _term(1 - listed, F.lit(1 - heard_))))
     judged = judged.withColumn("common_distance", F.when(F.col("n_words") > 0, _least(distances)))
+    known = [d <= common_limit(own) for d, own in zip(distances, spoken.values(), strict=True)]
+    common_like = reduce(lambda a, b: a | b, known) if known else F.lit(True)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     like = ((F.col("n_words") < MIN_WORDS_FOR_CLASSES) | (F.col("class_distance") <= MAX_CLASS_DISTANCE)) & (
-        (F.col("n_words") < MIN_WORDS_FOR_COMMON) | (F.col("common_distance") <= MAX_COMMON_DISTANCE)
+        (F.col("n_words") < MIN_WORDS_FOR_COMMON) | common_like
     )
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance"]
     return judged.select(*names, failed.alias("base_failed"), (~failed & F.coalesce(like, F.lit(True))).alias("kept"))
