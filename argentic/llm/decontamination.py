@@ -76,6 +76,11 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, share: float =
     nothing and blank items are in nothing; repeated documents and items give a
     row each for their ids, once.  Other columns are not read.
     """
+    return _find(docs, items, width, share).drop("h").distinct()
+
+
+def _find(docs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
+    """The rows of find_items with h, the hash of the text: ids may be null or name several texts."""
     scratch = Scratch(docs.sparkSession)
     shingled = scratch.save(item_shingles(items, width))
     sign = scratch.save(signatures(shingled, share).distinct())
@@ -88,23 +93,24 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, share: float =
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         kinds = [x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (items, "item_id"))]
-        return docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, n_shingles int, n_found int, containment double".format(*kinds))
+        return docs.sparkSession.createDataFrame([], "doc_id {}, h long, item_id {}, n_shingles int, n_found int, containment double".format(*kinds))
     candidates = scratch.save(found.distinct())
     per_doc = scratch.save(candidates.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n_")).select(F.col("doc_id").alias("d_"), F.col("h").alias("h_")))
     same = F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_"))
     held = text.join(_small(per_doc), same, "left_semi").dropDuplicates(["doc_id", "h"])
-    held = held.join(candidates.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), "item_id"), same).select("doc_id", "ws", "item_id")
+    held = held.join(candidates.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), "item_id"), same).select("doc_id", "h", "ws", "item_id")
     pairs = held.join(_small(shingled), "item_id")
     shared = F.size(F.array_intersect(F.col("shingles"), _windows("width")))
-    counted = pairs.select("doc_id", "item_id", F.size("shingles").alias("n_shingles"), shared.alias("n_found"))
+    counted = pairs.select("doc_id", "h", "item_id", F.size("shingles").alias("n_shingles"), shared.alias("n_found"))
     kept = counted.filter(F.col("n_found") >= F.ceil(F.col("n_shingles") * F.lit(share) - F.lit(1e-9)))
-    return kept.withColumn("containment", F.col("n_found") / F.col("n_shingles")).distinct()
+    return kept.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
-    """The documents that contain no item, all columns kept."""
-    bad = find_items(docs, items, width, share).select(F.col("doc_id").alias("contaminated_id__")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("contaminated_id__")), "left_anti")
+    """The documents that contain no item, all columns kept; a clean text stays whatever else has its id."""
+    bad = _find(docs, items, width, share).select(F.col("doc_id").alias("contaminated_id__"), F.col("h").alias("contaminated_h__")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("contaminated_id__")) & (F.xxhash64(docs["text"]) == F.col("contaminated_h__"))
+    return docs.join(bad, same, "left_anti")
 
 
 def op6_decontamination(spark, sf_dir):

@@ -67,3 +67,9 @@ def test_without_labels_items_or_languages(spark, odd, labels, items):
     assert {r["score"] for r in quality_classifier.classify(odd, labels.limit(0)).collect()} == {0.5}
     assert decontamination.find_items(odd, items.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_clean_texts_stay_beside_contaminated_ones_of_their_id(spark, items):
+    texts = [(None, "word word word"), (None, "clean one"), (None, None), (7, "word word word"), (7, "clean two"), (8, "clean three")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {tuple(r) for r in decontamination.clean_documents(docs, items).collect()} == {(None, "clean one"), (None, None), (7, "clean two"), (8, "clean three")}
