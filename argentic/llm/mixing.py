@@ -51,11 +51,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
+def mix_counts(docs: DataFrame, seed: str = "mix", by_text: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target and copies of each row.
 
     The rate of a source is its target over its size; a document gets floor(rate)
-    copies, and one more if a hash of its id and text falls below the fraction.
+    copies, and one more if a hash of its id and text falls below the fraction;
+    without ``by_text`` of its id alone, which rows of one id or none then share.
     Null text has no words; a null source is a source of its own.  Repeated rows
     get the same number of copies each.  Columns of docs of these names go.
     """
@@ -72,7 +73,8 @@ def mix_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
         salted = side.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = sized.withColumn("salt", salt).join(salted, same & (F.col("salt") == F.col("salt_"))).drop("salt", "salt_")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(F.lit(1.0))
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    parts = [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
+    name = F.concat_ws(":", *parts, *([F.xxhash64("text").cast("string")] if by_text else []))
     draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(GRAIN)
     copies = F.floor("rate_") + (draw < F.col("rate_") - F.floor("rate_")).cast("long")
     return joined.drop("source_").withColumn("rate_", rate).withColumn("copies", copies).drop("rate_")
@@ -86,7 +88,7 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def op2_mixing(spark, sf_dir):
-    mixed = mix_counts(load(spark, sf_dir, "documents"))
+    mixed = mix_counts(load(spark, sf_dir, "documents"), by_text=False)  # as its SQL names the rows
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -118,6 +118,13 @@ def test_mix_is_near_its_targets(docs):
     assert mixing.mix_documents(docs).count() == rows["copies"].sum()
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_are_drawn_each(spark, doc_id):
+    table = spark.createDataFrame([(doc_id, f"text {i} of {s}", s) for s in "abc" for i in range(1500)], "doc_id long, text string, source string")
+    counts = mixing.mix_counts(table).withColumn("taken", F.col("copies") * F.col("size")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.1 for r in counts.collect())
+
+
 def test_simhash(docs, texts):
     def fingerprint(t):
         ws = WORD.findall(t.translate(SMALL))
