@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from argentic.operators import palette, qr, raster
+from argentic.plans import queries
 from argentic.plans.queries import write_exif_jpeg, write_flat_jpeg, write_gif
 from argentic.sources import exif, folder, gif, jpeg, png
 
@@ -127,3 +128,11 @@ def test_folder_build_is_incremental(spark, tmp_path):
     assert (s["images"], s["reused"], s["decoded"]) == (2, 2, 0)
     assert catalog.by_id(entries, catalog.photo_json(entries).first()["json"][7:23]).count() == 1
     assert folder.load_index(spark, "/elsewhere", str(index)) is None
+
+
+@pytest.mark.parametrize("n", [2048, 40000])
+def test_flat_jpegs_have_a_block_for_every_byte(n, monkeypatch):
+    seen, write = [], queries.write_flat_jpeg
+    monkeypatch.setattr(queries, "write_flat_jpeg", lambda means: seen.append(means) or write(means))
+    data = RNG.integers(0, 256, n).astype(np.uint8).tobytes()
+    assert queries.flat_jpeg_same(data) and np.concatenate(seen).tobytes()[:n] == data
