@@ -10,10 +10,7 @@ from ._anchors import Rolling, U, mix
 
 #: Bytes looked at together.  A longer text is read in pieces of this size, cut after white space where there is some.
 PIECE = 1 << 18
-_SMALL = np.arange(256, dtype=np.uint8)
-_SMALL[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+_STEP = U(0xD1342543DE82EF95)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -23,17 +20,21 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         if end < len(text):
             space = max(text.rfind(s, at, end) for s in (b" ", b"\n"))
             end = space + 1 if space > at else end
+            for _ in range(3):  # not within a character
+                if end > at + 1 and text[end] & 0xC0 == 0x80:
+                    end -= 1
         yield text[at:end]
         at = end
 
 
 def grouped(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of each piece, end of each piece, all their bytes in small letters), of about PIECE bytes each time."""
+    """(row of each piece, end of each piece, all their code points in small letters), of about PIECE bytes each time."""
     rows, parts, held = [], [], 0
 
     def out():
-        data = _SMALL[np.frombuffer(b"".join(parts), dtype=np.uint8)]
-        return np.array(rows), np.cumsum([len(p) for p in parts]), data
+        small = [p.decode("utf-8", "replace").lower() for p in parts]
+        data = np.frombuffer("".join(small).encode("utf-32-le"), dtype=np.uint32)
+        return np.array(rows), np.cumsum([len(p) for p in small]), data
 
     for i, text in enumerate(texts):
         for piece in _pieces(text or b""):
@@ -46,28 +47,37 @@ def grouped(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield out()
 
 
-def byte_grams(data: np.ndarray, ends: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, piece) of every n bytes in a row within a piece; n is 8 at most."""
+def char_grams(data: np.ndarray, ends: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, piece) of every n code points in a row within a piece."""
     if len(data) < n:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     size = len(data) - n + 1
     code = np.zeros(size, dtype=U)
     for i in range(n):
-        code |= data[i : i + size].astype(U) << U(8 * i)
+        code *= _STEP
+        code += data[i : i + size]
     piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:size]
     inside = np.arange(size) + n <= ends[piece]
     bucket = (code[inside] + U(n)) * U(0x9E3779B97F4A7C15) >> U(64 - bits)
     return bucket.astype(np.int64), piece[inside]
 
 
+class _Points(Rolling):
+    """Rolling hashes over code points."""
+
+    def __init__(self, data: np.ndarray):
+        super().__init__(np.zeros(len(data), dtype=np.uint8))
+        np.cumsum(mix(data + U(1)) * self.up[: len(data)], out=self.sums[1:])
+
+
 def word_grams(data: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, piece) of every word, and of a sign, always the same, for every word that repeats the one before it."""
-    solid = ~_SPACE[data]
+    solid = (data != 32) & ((data < 9) | (data > 13))
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[ends] = True
     start = np.flatnonzero(solid & ~(np.append(False, solid[:-1]) & ~edge[:-1]))
     stop = np.flatnonzero(solid & ~(np.append(solid[1:], False) & ~edge[1:])) + 1
-    key = mix(Rolling(data).at(start, stop) + U(0x57))
+    key = mix(_Points(data).at(start, stop) + U(0x57))
     piece = np.searchsorted(ends, start, side="right")
     again = np.append(False, (key[1:] == key[:-1]) & (piece[1:] == piece[:-1]))[: len(key)]
     return np.append(key >> U(64 - bits), np.zeros(again.sum(), dtype=U)).astype(np.int64), np.append(piece, piece[again])

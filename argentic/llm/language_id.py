@@ -1,4 +1,4 @@
-"""Language identification: multinomial naive Bayes over hashed byte n-grams.
+"""Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Learned from a bounded sample of labelled documents in one task; the matrix of
 log-probabilities, of fixed size, is broadcast, and batches of documents are
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fold, load, small_batches
-from ._features import byte_grams, grouped, sums_by_row
+from ._features import char_grams, grouped, sums_by_row
 
 BITS = 15
 GRAMS = (2, 4)
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 
 def _features(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for rows, ends, data in grouped(texts):
-        found = [byte_grams(data, ends, n, BITS) for n in GRAMS]
+        found = [char_grams(data, ends, n, BITS) for n in GRAMS]
         yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), rows
 
 

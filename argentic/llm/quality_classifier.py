@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and byte n-grams of a text are hashed to rows of one table of vectors; a
+Words and character n-grams of a text are hashed to rows of one table of vectors; a
 document is the mean of its vectors (and of PADDING zeros), and a softmax over two outputs gives the
 score.  Trained by stochastic gradient descent in numpy on a bounded sample of
 labelled rows, in one task; scoring needs one number for each table row, since
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fold, load, small_batches
-from ._features import byte_grams, grouped, sums_by_row, word_grams
+from ._features import char_grams, grouped, sums_by_row, word_grams
 
 BITS = 16
 GRAMS = (3, 5)
@@ -33,7 +33,7 @@ THRESHOLD = 0.7
 def _features(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket, piece, row of each piece) of all features, some texts at a time."""
     for rows, ends, data in grouped(texts):
-        found = [word_grams(data, ends, BITS), *(byte_grams(data, ends, n, BITS) for n in GRAMS)]
+        found = [word_grams(data, ends, BITS), *(char_grams(data, ends, n, BITS) for n in GRAMS)]
         yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), rows
 
 

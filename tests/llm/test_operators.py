@@ -333,6 +333,15 @@ def test_containment_agrees_with_sets(spark, docs, texts, sf):
     assert got == want and want
 
 
+def test_grams_are_of_characters():
+    grams = {}
+    for t in ("日本語", "ÉÀ", "éà"):
+        (found,) = language_id._features([t.encode()])
+        grams[t] = sorted(found[0].tolist())
+    assert len(grams["日本語"]) == 2 and len(grams["éà"]) == 1 and grams["ÉÀ"] == grams["éà"]
+    assert sum(len(f[0]) for f in quality_classifier._features(["éàü ß".encode()])) == 2 + 3 + 1
+
+
 def test_held_out_accuracy(spark, sf):
     from argentic.llm.quality_classifier import op9_quality
 
