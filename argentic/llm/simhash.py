@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, load
@@ -160,9 +160,8 @@ POSITIONS, RUN, RUNS = 256, 4, 16
 LEAST_EQUAL = 182
 #: All pairs of so short a posting list are candidates; in a longer one each entry is paired with HUBS others.
 LISTED, HUBS = 24, 3
-#: Entries that the hubs of a long list don't reach are held against the whole list: rows of a block, and pairs of each
-#: that are verified before all others.
-BLOCK_ROWS, BEST = 512, 16
+#: Entries that the hubs of a long list don't reach are held against the whole list, in blocks of about so many bytes.
+BLOCK_BYTES = 1 << 21
 _WAYS = np.random.default_rng(11).integers(0, 1 << 63, (2, POSITIONS), dtype=U) * U(2) + U(1)
 
 
@@ -238,70 +237,111 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, share: float) -> D
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            alike = []
-            for x, y in zip(b["t_a"], b["t_b"], strict=True):
-                x, y = shingle_hashes(x, width), shingle_hashes(y, width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(both >= share * (len(x) + len(y) - both))
+            alike = [_is_similar(shingle_hashes(x, width), shingle_hashes(y, width), share) for x, y in zip(b["t_a"], b["t_b"], strict=True)]
             yield b.loc[np.array(alike, dtype=bool), ["a", "b"]]
 
     return joined.mapInPandas(each, "a long, b long")
 
 
-def _blocks(entries: DataFrame, rows: str) -> DataFrame:
-    """``entries(key, h, root, fp)`` in blocks of about BLOCK_ROWS rows; ``rows`` counts those of the key."""
-    block = F.pmod(F.xxhash64("h"), F.ceil(F.col(rows) / BLOCK_ROWS))
-    one = F.struct("h", "root", "fp")
-    return entries.withColumn("block", block).groupBy("key", "block").agg(F.collect_list(one).alias("held")).select("key", "held")
+def _is_similar(x: np.ndarray, y: np.ndarray, share: float) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of ``share`` or more."""
+    if min(len(x), len(y)) < share * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= share * (len(x) + len(y) - both)
 
 
-def _compare_blocks(ones: DataFrame, others: DataFrame, best: int | None) -> DataFrame:
-    """(a, b, equal): pairs of different roots and enough equal bytes, only the ``best`` of each row of a block if given."""
-    joined = ones.withColumnRenamed("held", "x").join(others.select(F.col("key").alias("key_"), F.col("held").alias("y")), F.col("key") == F.col("key_"))
-    parts = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("h", "root", "fp")]
+def _links_of_blocks(group: pd.DataFrame, share: float) -> pd.DataFrame:
+    """Links (a, b) that span what two blocks of a posting list add to the groups known before.
 
-    def unpack(row, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        fps = np.frombuffer(b"".join(row[f"{side}_fp"]), dtype=np.uint8).reshape(-1, POSITIONS)
-        return np.asarray(row[f"{side}_h"], dtype=np.int64), np.asarray(row[f"{side}_root"], dtype=np.int64), fps
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.to_dict("records"):
-                (h, root, fps), (others_h, others_root, others_fps) = unpack(row, "x"), unpack(row, "y")
-                for i in range(0, len(h), 32):
-                    equal = (fps[i : i + 32, None, :] == others_fps[None, :, :]).sum(axis=2, dtype=np.int16)
-                    equal[root[i : i + 32, None] == others_root[None, :]] = 0
-                    if best and equal.shape[1] > best:
-                        equal[equal < -np.partition(-equal, best - 1, axis=1)[:, best - 1 : best]] = 0
-                    at, to = np.nonzero(equal >= LEAST_EQUAL)
-                    if len(at):
-                        yield pd.DataFrame({"a": h[i + at], "b": others_h[to], "equal": equal[at, to].astype(np.int32)})
-
-    return joined.select(*parts).mapInPandas(each, "a long, b long, equal int")
-
-
-def _outsiders(postings: DataFrame, nodes: DataFrame, roots: DataFrame, best: int | None, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) that the hubs of long posting lists left open.
+    Pairs of enough equal bytes are verified, the likeliest first, unless links
+    found before join their groups already.  A pair belongs to the first key that
+    its texts share: it is looked at there alone.
+    """
+    sides = []
+    for rows in (group[group["side"] == 0], group[group["side"] == 1]):
+        fps = np.frombuffer(b"".join(rows["fp"]), dtype=np.uint8).reshape(-1, POSITIONS)
+        sides.append((rows["h"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), rows["s"].to_numpy(), fps))
+    (h, root, sets, fps), (others_h, others_root, others_sets, others_fps) = sides
+    runs, others_runs = (np.ascontiguousarray(f[:, : RUN * RUNS]).view(f"<u{RUN}") for f in (fps, others_fps))
+    if not len(h) or not len(others_h):
+        return pd.DataFrame({"a": h[:0], "b": h[:0]})
+    place = int(group["key"].iat[0]) >> (8 * RUN)
+    known, labels = np.unique(np.concatenate([root, others_root]), return_inverse=True)
+    main = np.searchsorted(known, group["main"].iat[0])
+    mine, theirs = labels[: len(h)], labels[len(h) :]
+    at, to, equal = [], [], []
+    for i in range(0, len(h), 32):
+        same = (fps[i : i + 32, None, :] == others_fps[None, :, :]).sum(axis=2, dtype=np.int16)
+        x, y = np.nonzero(same >= LEAST_EQUAL)
+        n = same[x, y]
+        x += i
+        # pairs of two outsiders meet in either order, of which one counts
+        own = (mine[x] != theirs[y]) & ((theirs[y] == main) | (h[x] < others_h[y]))
+        x, y, n = x[own], y[own], n[own]
+        first = (runs[x] == others_runs[y]).argmax(axis=1) == place
+        at, to, equal = [*at, x[first]], [*to, y[first]], [*equal, n[first]]
+    at, to, equal = (np.concatenate(v) for v in (at, to, equal))
+    order = np.argsort(-equal, kind="stable")
+    at, to = at[order], to[order]
+    parent = list(range(len(known)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for x, y in zip(at.tolist(), to.tolist(), strict=True):
+        p, q = find(mine[x]), find(theirs[y])
+        if p != q and _is_similar(np.frombuffer(sets[x], dtype=U), np.frombuffer(others_sets[y], dtype=U), share):
+            parent[max(p, q)] = min(p, q)
+            links.append((h[x], others_h[y]))
+    found = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _outsiders(postings: DataFrame, rows: DataFrame, roots: DataFrame, width: int, share: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that the hubs of long posting lists left open.
 
     Most entries of a list are of one group by now.  All others are held against
-    the whole list, in blocks, so every pair of different groups that shares a
-    key is tallied; only pairs of enough equal bytes become rows.
+    the whole list, block by block, so that every pair of different groups that
+    shares a key is tallied, and verified where it has enough equal bytes.  A pair
+    of blocks is a task's work of bounded size, whatever the length of the list,
+    and gives links of a forest alone.
     """
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LISTED).withColumnRenamed("key", "k_")
     met = postings.join(lists, F.col("key") == F.col("k_")).select("key", "h", "n")
     met = scratch.save(met.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("root")))
     shares = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"), F.first("n").alias("n"))
     main = shares.groupBy("key").agg(F.max_by("root", F.struct("part", "root")).alias("main"), (F.first("n") - F.max("part")).alias("r"))
-    main = main.filter("r > 0").withColumnRenamed("key", "k_")
-    fps = nodes.select(F.col("h").alias("h_"), "fp")
-    open_ = met.join(main, F.col("key") == F.col("k_")).select("key", "h", "n", "root", "main", "r")
-    open_ = scratch.save(open_.join(fps, F.col("h") == F.col("h_")).drop("h_"))
-    scratch.drop(met)
-    pairs = _compare_blocks(_blocks(open_.filter("root <> main"), "r"), _blocks(open_, "n"), best)
-    if best:
-        order = Window.partitionBy("a").orderBy(F.desc("equal"), "b")
-        pairs = pairs.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= best)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    main = main.filter("r > 0").select(F.col("key").alias("k_"), "main")
+    open_ = scratch.save(met.join(main, F.col("key") == F.col("k_")).select("key", "h", "root", "main"))
+    wanted = open_.select(F.col("h").alias("w")).distinct()
+    texts = scratch.save(rows.join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_hashes(t, width) for t in b["t"]]
+            yield pd.DataFrame({"h_": b["h"], "fp": [wide_fingerprint(s).tobytes() for s in sets], "s": [s.tobytes() for s in sets]})
+
+    sets = scratch.save(texts.mapInPandas(each, "h_ long, fp binary, s binary"))
+    size = F.length("s") + POSITIONS + 16
+    entries = scratch.save(open_.join(sets, F.col("h") == F.col("h_")).select("key", "h", "root", "main", "fp", "s", size.alias("size")))
+    outside = F.col("root") != F.col("main")
+    blocks = lambda total: F.greatest(F.ceil(total / BLOCK_BYTES), F.lit(1)).cast("int")
+    sizes = entries.groupBy("key").agg(blocks(F.sum(F.when(outside, F.col("size")))).alias("n_x"), blocks(F.sum("size")).alias("n_y"))
+    sizes = sizes.withColumnRenamed("key", "k_")
+    dealt = entries.join(sizes, F.col("key") == F.col("k_"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
+    kept = ["key", "h", "root", "main", "fp", "s"]
+    x = dealt.filter(outside).select(*kept, F.lit(0).alias("side"), own("n_x").alias("x"), every("n_y").alias("y"))
+    y = dealt.select(*kept, F.lit(1).alias("side"), every("n_x").alias("x"), own("n_y").alias("y"))
+    found = x.unionByName(y).groupBy("key", "x", "y").applyInPandas(lambda g: _links_of_blocks(g, share), "a long, b long")
+    found = scratch.save(found)
+    scratch.drop(met, open_, texts, sets, entries)
+    return found
 
 
 def similar_groups(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
@@ -318,30 +358,28 @@ def similar_groups(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataF
     scratch.drop(wide)
     postings = scratch.save(nodes.select(F.explode("keys").alias("key"), "h"))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        wanted = scratch.save(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct())
-        texts = scratch.save(rows.select("h", "t").join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("t").alias("t")))
-        found = scratch.save(_verified(pairs, texts, width, share))
-        scratch.drop(texts, wanted)
-        return found
-
-    links = links_of(scratch.save(_tallied(_candidates(postings), nodes.select("h", "fp"))))
+    pairs = scratch.save(_tallied(_candidates(postings), nodes.select("h", "fp")))
+    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    texts = scratch.save(rows.select("h", "t").join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+    links = scratch.save(_verified(pairs, texts, width, share))
     roots = connected_components(links, scratch)
-    for best in (BEST, None):  # likely links first, so that few texts are left to hold against all others
-        pairs = scratch.save(_outsiders(postings, nodes, roots, best, scratch))
-        if pairs.isEmpty():
-            break
-        links = links.unionByName(links_of(pairs))
-        roots = connected_components(links, scratch)
+    more = _outsiders(postings, rows.select("h", "t"), roots, width, share, scratch)
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more), scratch)
+    scratch.drop(pairs, texts)
     scratch.drop(postings, nodes)
     return ids.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of similar documents, that of the least doc_id; all columns stay."""
+    """``docs`` with one row of each group of similar documents, that of the least doc_id; all columns stay.
+
+    A null doc_id stays only where no document of the group has one.  Of rows of
+    one doc_id and text, one stays.
+    """
     scratch = Scratch(docs.sparkSession)
     groups = scratch.save(similar_groups(docs, width, share))
-    first = scratch.save(groups.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("kept_id__"), F.col("x.h").alias("kept_h__")))
+    first = scratch.save(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("kept_id__"), F.col("x.h").alias("kept_h__")))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id__")) & (F.xxhash64("text") == F.col("kept_h__"))
     kept = docs.join(first, same, "left_semi")
     repeated = groups.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count()

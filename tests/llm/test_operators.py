@@ -175,8 +175,7 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
     want = components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     monkeypatch.setattr(simhash, "LISTED", 2)
     monkeypatch.setattr(simhash, "HUBS", 1)
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(simhash, "BEST", 1)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 1 << 15)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect())
     assert kept == sorted(set(want.values())) and 1 < len(kept) < 120
