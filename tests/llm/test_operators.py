@@ -110,14 +110,37 @@ def test_targets_equal_repeated_sharing(spark, sizes):
     assert abs(sum(found.values()) - sum(sizes)) < 1e-6
 
 
-def test_mix_is_near_its_targets(docs):
+def test_mix_is_near_its_targets(spark, sf):
+    docs = load(spark, sf.replace("0.001", "0.01"), "documents")
     rows = mixing.mix_counts(docs).toPandas()
     assert (rows["copies"].between(0, 3)).all()
-    total = (rows["copies"] * rows["size"]).sum()
-    assert abs(total / rows["size"].sum() - 1) < 0.2
+    rows["taken"] = rows["copies"] * rows["size"]
+    for _, g in rows.groupby("source", dropna=False):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
     assert mixing.mix_documents(docs).count() == rows["copies"].sum()
 
 
+def test_mix_by_brute_force(spark, monkeypatch):
+    """Words before each document in its source's line, by a loop; also with sources joined by salted keys."""
+    rows = [(i % 97 if i % 5 else None, " ".join(["w"] * (i * 7 % 40)), f"s{i % 4}" if i % 11 else None) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = [hashlib.md5(f"mix:{'' if d is None else d}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for d, t, _ in rows]
+    size, line = collections.Counter(), collections.defaultdict(collections.Counter)
+    for (_, t, s), name in zip(rows, names, strict=True):
+        size[s] += len(t.split())
+        line[s][int(name[:15], 16)] += len(t.split())
+    targets = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+    want = collections.Counter()
+    for (d, t, s), name in zip(rows, names, strict=True):
+        rate, n = targets[s] / size[s], len(t.split())
+        before = sum(v for k, v in line[s].items() if k < int(name[:15], 16))
+        want[d, t, s, math.floor(rate) * n + n * (before + int(name[15:23], 16) / 2**32 * n < (rate - math.floor(rate)) * size[s])] += 1
+    for most in (mixing.MAX_BROADCAST, 1):
+        monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
+        found = mixing.mix_counts(table).selectExpr("doc_id", "text", "source", "copies * size AS taken").collect()
+        assert collections.Counter(tuple(r) for r in found) == want
+
+
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_rows_of_one_id_are_drawn_each(spark, doc_id):
     table = spark.createDataFrame([(doc_id, f"text {i} of {s}", s) for s in "abc" for i in range(1500)], "doc_id long, text string, source string")
