@@ -160,8 +160,11 @@ POSITIONS, RUN, RUNS = 256, 4, 16
 LEAST_EQUAL = 182
 #: All pairs of so short a posting list are candidates; in a longer one each entry is paired with HUBS others.
 LISTED, HUBS = 24, 3
-#: Entries that the hubs of a long list don't reach are held against the whole list, in blocks of about so many bytes.
-BLOCK_BYTES = 1 << 21
+#: Entries that the hubs of a long list don't reach are held against the whole list, in blocks of about so many bytes,
+#: where an entry counts for ROW_BYTES more than it has.
+BLOCK_BYTES, ROW_BYTES = 1 << 21, 1 << 11
+#: Parts that the copies of one text are dealt to before one of them is taken.
+SALTS = 32
 _WAYS = np.random.default_rng(11).integers(0, 1 << 63, (2, POSITIONS), dtype=U) * U(2) + U(1)
 
 
@@ -251,64 +254,104 @@ def _is_similar(x: np.ndarray, y: np.ndarray, share: float) -> bool:
     return both >= share * (len(x) + len(y) - both)
 
 
-def _links_of_blocks(group: pd.DataFrame, share: float) -> pd.DataFrame:
-    """Links (a, b) that span what two blocks of a posting list add to the groups known before.
+class _Cell:
+    """Two blocks of a posting list, and the pairs between them that may be links.
 
-    Pairs of enough equal bytes are verified, the likeliest first, unless links
-    found before join their groups already.  A pair belongs to the first key that
-    its texts share: it is looked at there alone.
+    Of the entries, ``x`` are outsiders and ``y`` any.  A pair has different roots
+    and enough equal bytes, and belongs to the first key that its texts share: it
+    is looked at there alone.
     """
-    sides = []
-    for rows in (group[group["side"] == 0], group[group["side"] == 1]):
-        fps = np.frombuffer(b"".join(rows["fp"]), dtype=np.uint8).reshape(-1, POSITIONS)
-        sides.append((rows["h"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), rows["s"].to_numpy(), fps))
-    (h, root, sets, fps), (others_h, others_root, others_sets, others_fps) = sides
-    runs, others_runs = (np.ascontiguousarray(f[:, : RUN * RUNS]).view(f"<u{RUN}") for f in (fps, others_fps))
-    if not len(h) or not len(others_h):
-        return pd.DataFrame({"a": h[:0], "b": h[:0]})
-    place = int(group["key"].iat[0]) >> (8 * RUN)
-    known, labels = np.unique(np.concatenate([root, others_root]), return_inverse=True)
-    main = np.searchsorted(known, group["main"].iat[0])
-    mine, theirs = labels[: len(h)], labels[len(h) :]
-    at, to, equal = [], [], []
-    for i in range(0, len(h), 32):
-        same = (fps[i : i + 32, None, :] == others_fps[None, :, :]).sum(axis=2, dtype=np.int16)
-        x, y = np.nonzero(same >= LEAST_EQUAL)
-        n = same[x, y]
-        x += i
-        # pairs of two outsiders meet in either order, of which one counts
-        own = (mine[x] != theirs[y]) & ((theirs[y] == main) | (h[x] < others_h[y]))
-        x, y, n = x[own], y[own], n[own]
-        first = (runs[x] == others_runs[y]).argmax(axis=1) == place
-        at, to, equal = [*at, x[first]], [*to, y[first]], [*equal, n[first]]
-    at, to, equal = (np.concatenate(v) for v in (at, to, equal))
-    order = np.argsort(-equal, kind="stable")
-    at, to = at[order], to[order]
-    parent = list(range(len(known)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    links = []
-    for x, y in zip(at.tolist(), to.tolist(), strict=True):
-        p, q = find(mine[x]), find(theirs[y])
-        if p != q and _is_similar(np.frombuffer(sets[x], dtype=U), np.frombuffer(others_sets[y], dtype=U), share):
-            parent[max(p, q)] = min(p, q)
-            links.append((h[x], others_h[y]))
-    found = np.array(links, dtype=np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-
-def _outsiders(postings: DataFrame, rows: DataFrame, roots: DataFrame, width: int, share: float, scratch: Scratch) -> DataFrame:
+
+    def __init__(self, group: pd.DataFrame):
+        outside = (group["root"] != group["main"]).to_numpy()
+        any_ = (group["side"] == 1).to_numpy()
+        masks = outside & (~any_ | (group["own_x"] == group["x"]).to_numpy()), any_
+        self.x, self.y = (group[m] for m in masks)
+        self.known, labels = np.unique(group["root"].to_numpy(), return_inverse=True)
+        self.mine, self.theirs = (labels[m] for m in masks)
+        self.at = self.to = np.zeros(0, dtype=np.int64)
+        if len(self.x) and len(self.y):
+            self._tally(int(group["key"].iat[0]) >> (8 * RUN), int(group["main"].iat[0]))
+
+    def _tally(self, place: int, main: int) -> None:
+        fps, others = (np.frombuffer(b"".join(v["fp"]), dtype=np.uint8).reshape(-1, POSITIONS) for v in (self.x, self.y))
+        runs, others_runs = (np.ascontiguousarray(f[:, : RUN * RUNS]).view(f"<u{RUN}") for f in (fps, others))
+        h, others_h = self.x["h"].to_numpy(), self.y["h"].to_numpy()
+        in_main = self.y["root"].to_numpy() == main
+        found = []
+        for i in range(0, len(fps), 32):
+            same = (fps[i : i + 32, None, :] == others[None, :, :]).sum(axis=2, dtype=np.int16)
+            x, y = np.nonzero(same >= LEAST_EQUAL)
+            n = same[x, y]
+            x += i
+            # two outsiders meet in either order, of which one counts
+            own = (self.mine[x] != self.theirs[y]) & (in_main[y] | (h[x] < others_h[y]))
+            x, y, n = x[own], y[own], n[own]
+            first = (runs[x] == others_runs[y]).argmax(axis=1) == place
+            found.append((x[first], y[first], n[first]))
+        self.at, self.to, equal = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.argsort(-equal, kind="stable")
+        self.at, self.to = self.at[order], self.to[order]
+
+    def open_entries(self) -> pd.DataFrame:
+        """Entries of any such pair."""
+        return pd.concat([self.x.iloc[np.unique(self.at)], self.y.iloc[np.unique(self.to)]])[["key", "h"]].drop_duplicates()
+
+    def links(self, share: float) -> pd.DataFrame:
+        """Links (a, b) of a spanning forest over the groups known before: pairs are verified, the likeliest first, unless links found here join their groups."""
+        parent = list(range(len(self.known)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        sets, others = self.x["s"].to_numpy(), self.y["s"].to_numpy()
+        h, others_h = self.x["h"].to_numpy(), self.y["h"].to_numpy()
+        found = []
+        for x, y in zip(self.at.tolist(), self.to.tolist(), strict=True):
+            p, q = find(self.mine[x]), find(self.theirs[y])
+            if p != q and _is_similar(np.frombuffer(sets[x], dtype=U), np.frombuffer(others[y], dtype=U), share):
+                parent[max(p, q)] = min(p, q)
+                found.append((h[x], others_h[y]))
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _cells(entries: DataFrame, more: list[str]) -> DataFrame:
+    """``entries(key, h, root, main, fp, size)`` dealt to pairs (x, y) of blocks of their lists: a block of outsiders and a block of any.
+
+    An outsider is sent once to the pair in which both of its blocks are.
+    """
+    outside = F.col("root") != F.col("main")
+    blocks = lambda total: F.greatest(F.ceil(F.coalesce(total, F.lit(0)) / BLOCK_BYTES), F.lit(1)).cast("int")
+    sizes = entries.groupBy("key").agg(blocks(F.sum(F.when(outside, F.col("size")))).alias("n_x"), blocks(F.sum("size")).alias("n_y"))
+    dealt = entries.join(sizes.withColumnRenamed("key", "k_"), F.col("key") == F.col("k_"))
+    own = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    to_any = F.transform(every("n_x"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("x"), own("n_y").alias("y")))
+    to_others = F.transform(F.filter(every("n_y"), lambda i: i != own("n_y")), lambda i: F.struct(F.lit(0).alias("side"), own("n_x").alias("x"), i.alias("y")))
+    places = F.explode(F.when(outside, F.concat(to_any, to_others)).otherwise(to_any)).alias("p")
+    dealt = dealt.select("key", "h", "root", "main", "fp", *more, own("n_x").alias("own_x"), places).select("*", "p.*").drop("p")
+    return dealt.repartition("key", "x", "y").groupBy("key", "x", "y")  # else all cells of a key stay where the join has put the key
+
+
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, t) of the ``wanted(w)`` texts, once each; a text with very many copies is met in SALTS tasks."""
+    spread = wanted.select("w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_w"))
+    salted = rows.select("h", "t", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(spread, (F.col("h") == F.col("w")) & (F.col("salt") == F.col("salt_w")), "left_semi").groupBy("h").agg(F.first("t").alias("t"))
+
+
+def _outsiders(postings: DataFrame, nodes: DataFrame, rows: DataFrame, roots: DataFrame, width: int, share: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) that the hubs of long posting lists left open.
 
     Most entries of a list are of one group by now.  All others are held against
     the whole list, block by block, so that every pair of different groups that
-    shares a key is tallied, and verified where it has enough equal bytes.  A pair
-    of blocks is a task's work of bounded size, whatever the length of the list,
-    and gives links of a forest alone.
+    shares a key is tallied, and those of enough equal bytes are verified: first
+    only the fingerprints go to the pairs of blocks, then the sets of shingles of
+    entries that have such a pair.  A pair of blocks is work of bounded size,
+    whatever the length of the list, and gives links of a forest alone.
     """
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LISTED).withColumnRenamed("key", "k_")
     met = postings.join(lists, F.col("key") == F.col("k_")).select("key", "h", "n")
@@ -316,31 +359,25 @@ def _outsiders(postings: DataFrame, rows: DataFrame, roots: DataFrame, width: in
     shares = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"), F.first("n").alias("n"))
     main = shares.groupBy("key").agg(F.max_by("root", F.struct("part", "root")).alias("main"), (F.first("n") - F.max("part")).alias("r"))
     main = main.filter("r > 0").select(F.col("key").alias("k_"), "main")
-    open_ = scratch.save(met.join(main, F.col("key") == F.col("k_")).select("key", "h", "root", "main"))
-    wanted = open_.select(F.col("h").alias("w")).distinct()
-    texts = scratch.save(rows.join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+    fps = nodes.select(F.col("h").alias("h_"), "fp")
+    entries = met.join(main, F.col("key") == F.col("k_")).select("key", "h", "root", "main").join(fps, F.col("h") == F.col("h_")).drop("h_")
+    entries = scratch.save(entries.withColumn("size", F.lit(POSITIONS + ROW_BYTES)))
+    scratch.drop(met)
+    open_ = scratch.save(_cells(entries, []).applyInPandas(lambda g: _Cell(g).open_entries(), "key long, h long"))
+    same = [F.col("key") == F.col("k_"), F.col("h") == F.col("h_")]
+    left = entries.drop("size").join(open_.distinct().select(F.col("key").alias("k_"), F.col("h").alias("h_")), same, "left_semi")
+    left = scratch.save(left)
+    texts = _texts_of(rows, left.select(F.col("h").alias("w")).distinct())
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_hashes(t, width) for t in b["t"]]
-            yield pd.DataFrame({"h_": b["h"], "fp": [wide_fingerprint(s).tobytes() for s in sets], "s": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"h_": b["h"], "s": [shingle_hashes(t, width).tobytes() for t in b["t"]]})
 
-    sets = scratch.save(texts.mapInPandas(each, "h_ long, fp binary, s binary"))
-    size = F.length("s") + POSITIONS + 16
-    entries = scratch.save(open_.join(sets, F.col("h") == F.col("h_")).select("key", "h", "root", "main", "fp", "s", size.alias("size")))
-    outside = F.col("root") != F.col("main")
-    blocks = lambda total: F.greatest(F.ceil(total / BLOCK_BYTES), F.lit(1)).cast("int")
-    sizes = entries.groupBy("key").agg(blocks(F.sum(F.when(outside, F.col("size")))).alias("n_x"), blocks(F.sum("size")).alias("n_y"))
-    sizes = sizes.withColumnRenamed("key", "k_")
-    dealt = entries.join(sizes, F.col("key") == F.col("k_"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
-    kept = ["key", "h", "root", "main", "fp", "s"]
-    x = dealt.filter(outside).select(*kept, F.lit(0).alias("side"), own("n_x").alias("x"), every("n_y").alias("y"))
-    y = dealt.select(*kept, F.lit(1).alias("side"), every("n_x").alias("x"), own("n_y").alias("y"))
-    found = x.unionByName(y).groupBy("key", "x", "y").applyInPandas(lambda g: _links_of_blocks(g, share), "a long, b long")
-    found = scratch.save(found)
-    scratch.drop(met, open_, texts, sets, entries)
+    sets = scratch.save(texts.mapInPandas(each, "h_ long, s binary"))
+    scratch.drop(entries, open_)
+    held = left.join(sets, F.col("h") == F.col("h_")).withColumn("size", F.length("s") + POSITIONS + ROW_BYTES)
+    found = scratch.save(_cells(held, ["s"]).applyInPandas(lambda g: _Cell(g).links(share), "a long, b long"))
+    scratch.drop(left, sets)
     return found
 
 
@@ -357,16 +394,15 @@ def similar_groups(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataF
     nodes = scratch.save(wide.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     scratch.drop(wide)
     postings = scratch.save(nodes.select(F.explode("keys").alias("key"), "h"))
-
     pairs = scratch.save(_tallied(_candidates(postings), nodes.select("h", "fp")))
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    texts = scratch.save(rows.select("h", "t").join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+    texts = scratch.save(_texts_of(rows.select("h", "t"), wanted))
     links = scratch.save(_verified(pairs, texts, width, share))
+    scratch.drop(pairs, texts)
     roots = connected_components(links, scratch)
-    more = _outsiders(postings, rows.select("h", "t"), roots, width, share, scratch)
+    more = _outsiders(postings, nodes, rows.select("h", "t"), roots, width, share, scratch)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
-    scratch.drop(pairs, texts)
     scratch.drop(postings, nodes)
     return ids.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 

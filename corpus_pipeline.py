@@ -20,23 +20,31 @@ from argentic.llm._common import Scratch, load
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier predicts to be good; it is learned from the labels beside ``docs``.
+
+    Null and empty texts are scored like any other, repeated rows alike.
+    """
     scored = quality_classifier.classify(docs, load(spark, sf_dir, "labels"))
     return scored.filter("predicted = 1").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group, that of the least doc_id; null and blank texts are one group, and a null doc_id stays only in a group without others."""
     return simhash.keep_one(docs).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text contains no benchmark item; null and empty texts contain none, and rows of one id are told apart by text."""
     return decontamination.clean_documents(docs, load(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's rate asks for; a null source is a source, texts without words weigh nothing."""
     return mixing.mix_documents(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with the shard of their text; repeated rows share it, and null texts are one group."""
     return sharding.shard_rows(docs)
 
 
