@@ -148,22 +148,27 @@ def _bucket_edges(buckets: int) -> np.ndarray:
 
 
 def _questions(chunks: DataFrame, buckets: int) -> DataFrame:
-    """A row for each chunk and bucket: its keys there and how often they occur in training documents."""
+    """A row for each chunk and bucket in which it has keys: these and how often they occur in training documents.
+
+    A chunk has no more rows than keys, so there are never more rows than tokens, however many buckets the corpus asks for.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _bucket_edges(buckets)
         for b in batches:
             for row in b.to_pylist():
                 c = _Chunk(row)
-                out = {"chunk": [row["chunk"]] * buckets, "bucket": list(range(buckets))}
                 order = np.argsort(c.keys)
                 once = np.bincount(c.stream[c.train], minlength=len(c.keys))[order]
                 pairs, places = c.bigrams()
                 twice = np.bincount(places[c.train], minlength=len(pairs))
+                cut = {n: np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for n, k in (("1", c.keys[order]), ("2", pairs))}
+                full = np.flatnonzero(np.diff(cut["1"]) + np.diff(cut["2"]))
+                out = {"chunk": [row["chunk"]] * len(full), "bucket": full}
                 for name, keys, counts in (("1", c.keys[order], once), ("2", pairs, twice)):
-                    cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-                    out["k" + name] = [_pack_sorted(keys[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-                    out["n" + name] = [_pack(counts[a:z].astype("<u4")) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                    cells = [slice(a, z) for a, z in zip(cut[name][full], cut[name][full + 1], strict=True)]
+                    out["k" + name] = [_pack_sorted(keys[x]) for x in cells]
+                    out["n" + name] = [_pack(counts[x].astype("<u4")) for x in cells]
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), *((f"{x}{i}", pa.binary()) for i in "12" for x in "kn")]))
 
     needed = chunks.select("chunk", "held", "sizes", "before", "keys", "stream")
