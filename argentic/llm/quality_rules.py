@@ -1,11 +1,13 @@
 """Quality rules: counts of a text, and the divergence of its letters and common words from those of known languages.
 
-DataFrame operations only.  References are histograms over the whole corpus, one
-for each language that has a list of common words here: shares of character
-classes, and shares of each common word and of all others.  A document is held
-against every reference, and its distance is the least Jensen-Shannon distance
+DataFrame operations only.  References are histograms over the whole corpus:
+shares of character classes for each language of the corpus that has enough
+documents, and shares of each common word and of all others for those that have a
+list of common words here.  A document is held against every reference, and its distance is the least Jensen-Shannon distance
 (square root of the divergence, base 2, 0 to 1).  Against common words the limit
-is set for each language from the distance of a text without any of them.
+is set for each language from the distance of a text without any of them.  What
+there is no reference for is no fault of a document: one whose language has none
+is not held against others, nor is one in a script that no reference is written in.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ MARKS = SYMBOLS + ".,;:!?'\"()[]{}-_=+/\\^~`@"
 #: Documents of fewer words than these are not held against the histogram: too little to tell.
 MIN_WORDS_FOR_CLASSES = 40
 MIN_WORDS_FOR_COMMON = 60
+#: Documents of those sizes that a language needs for a reference of its character classes.
+MIN_DOCUMENTS = 20
+#: Share of a text's characters in words that are letters outside ASCII, above which it is in another script; likewise a reference.
+OTHER_SCRIPT = 0.5
 #: Distances above which a document is unlike all languages.
 MAX_CLASS_DISTANCE = 0.20
 MAX_COMMON_DISTANCE = 0.60
@@ -83,9 +89,13 @@ def text_counts(docs: DataFrame) -> DataFrame:
         _without(F.col("rest"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
+        F.col("rest").alias("rest_"),
     )
     rest = F.col("n_chars_") - reduce(lambda a, b: a + b, (F.col(f"c_{n}") for n in CLASSES))
-    return out.withColumn("c_rest", rest).withColumn("word_chars", F.col("n_chars_") - F.col("c_space")).drop("n_chars_")
+    out = out.withColumn("c_rest", rest).withColumn("word_chars", F.col("n_chars_") - F.col("c_space")).drop("n_chars_")
+    foreign = F.col("c_rest") > OTHER_SCRIPT * F.col("word_chars")  # few texts, whose letters are worth a pattern
+    letters = F.regexp_count(F.col("rest_"), F.lit(r"[\p{L}\p{M}&&[^\x00-\x7F]]"))
+    return out.withColumn("other_script", F.when(foreign, letters > OTHER_SCRIPT * F.col("word_chars")).otherwise(F.lit(False))).drop("rest_")
 
 
 def common_counts(docs: DataFrame) -> DataFrame:
@@ -117,13 +127,14 @@ def _least(distances: list[Column]) -> Column:
 
 
 def class_references(counts: DataFrame) -> dict[str, list[float]]:
-    """Shares of the classes in each language: medians over its documents, which unlike means a share of odd ones doesn't move."""
+    """Shares of the classes in each language of the corpus: medians over its documents, which unlike means a share of odd ones doesn't move."""
     shares = [F.percentile_approx(F.col("shares")[i], 0.5, 1000).alias(f"s{i}") for i in range(len(CLASSES) + 1)]
-    rows = counts.filter(F.col("lang").isin(list(COMMON)) & (F.col("n_words") >= MIN_WORDS_FOR_CLASSES)).groupBy("lang").agg(*shares)
+    usable = F.col("lang").isNotNull() & (F.col("n_words") >= MIN_WORDS_FOR_CLASSES)
+    rows = counts.filter(usable).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *shares).filter((F.col("n") >= MIN_DOCUMENTS) | F.col("lang").isin(list(COMMON)))
     out = {}
-    for r in rows.collect():  # a row for each language of COMMON at most
-        if sum(r[1:]):
-            out[r["lang"]] = [float(x) / sum(r[1:]) for x in r[1:]]
+    for r in rows.collect():  # a row for each language of the corpus
+        if sum(r[2:]):
+            out[r["lang"]] = [float(x) / sum(r[2:]) for x in r[2:]]
     return dict(sorted(out.items()))
 
 
@@ -150,8 +161,10 @@ def judge(docs: DataFrame) -> DataFrame:
     """The counts of every document with class_distance, common_distance, base_failed and kept.
 
     Without words a document fails the base rule; null text counts as empty, a
-    null lang adds to no reference.  A language that no row has gives no
-    reference, and without any reference nothing is rejected by divergence.
+    null lang adds to no reference and is held against all.  A language that no
+    row has gives no reference, and without any reference nothing is rejected by
+    divergence; nor is a document whose lang has no reference of that kind, or
+    that is in a script of which there is none.
     Repeated rows are judged alike.  Columns other than doc_id, text and lang
     are not read.
     """
@@ -183,9 +196,12 @@ def judge(docs: DataFrame) -> DataFrame:
     known = [d <= common_limit(own) for d, own in zip(distances, spoken.values(), strict=True)]
     common_like = reduce(lambda a, b: a | b, known) if known else F.lit(True)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    like = ((F.col("n_words") < MIN_WORDS_FOR_CLASSES) | (F.col("class_distance") <= MAX_CLASS_DISTANCE)) & (
-        (F.col("n_words") < MIN_WORDS_FOR_COMMON) | common_like
-    )
+    solid, last = list(CLASSES).index("space"), len(CLASSES)
+    written = any(r[last] > OTHER_SCRIPT * (1 - r[solid]) for r in letters.values())  # some language of the corpus is in such a script
+    foreign = F.col("other_script") & F.lit(not written)
+    unknown = lambda known: F.col("lang").isNotNull() & ~F.col("lang").isin(list(known))
+    like_letters = (F.col("n_words") < MIN_WORDS_FOR_CLASSES) | (F.col("class_distance") <= MAX_CLASS_DISTANCE) | foreign | unknown(letters)
+    like = like_letters & ((F.col("n_words") < MIN_WORDS_FOR_COMMON) | common_like | F.col("other_script") | unknown(spoken))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance"]
     return judged.select(*names, failed.alias("base_failed"), (~failed & F.coalesce(like, F.lit(True))).alias("kept"))
 
