@@ -27,7 +27,7 @@ def etag(id_: Column, mtime: Column, size: Column) -> Column:
 
 
 def etag_matches(header: Column, tag: Column) -> Column:
-    return F.coalesce(F.array_contains(F.transform(F.split(header, ","), F.trim), tag), F.lit(False))
+    return F.coalesce(F.array_contains(F.transform(F.split(header, ","), lambda x: F.trim(x)), tag), F.lit(False))
 
 
 def byte_range(header: Column, total: Column) -> Column:
@@ -48,6 +48,17 @@ def byte_range(header: Column, total: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == "part", start).alias("start"), F.when(kind == "part", end).alias("end"))
 
 
+def is_routable(ip: Column) -> Column:
+    """Whether others can reach this IPv4 address: not none, loopback, link-local or broadcast."""
+    return ~(ip.isin("0.0.0.0", "255.255.255.255") | ip.startswith("127.") | ip.startswith("169.254."))
+
+
+def is_local_peer(peer: Column, own: Column) -> Column:
+    """Whether a request comes from this machine: loopback, or its own IPv4 address; no peer is not."""
+    v6 = peer.contains(":")
+    return F.coalesce(F.when(v6, peer == "::1").otherwise(peer.startswith("127.") | F.coalesce(peer == own, F.lit(False))), F.lit(False))
+
+
 _ESCAPE = re.compile(rb"%([0-9a-fA-F]{2})")
 
 

@@ -26,12 +26,17 @@ def exact_palette(px: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     return np.stack([colours >> 16, colours >> 8 & 255, colours & 255], axis=1).astype(np.uint8), index.reshape(px.shape[:2])
 
 
+def totals(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, pixels, sum of each channel) of the used buckets; those of several rasters can be added up."""
+    used, index, count = np.unique(bucket(px).ravel(), return_inverse=True, return_counts=True)
+    sums = np.stack([np.bincount(index, weights=px[..., c].ravel(), minlength=len(used)) for c in range(3)], axis=1)
+    return used, count, sums.astype(np.int64)
+
+
 def histogram(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(mean colour, pixels) of each used bucket."""
-    keys = bucket(px).ravel()
-    used, index, count = np.unique(keys, return_inverse=True, return_counts=True)
-    sums = np.stack([np.bincount(index, weights=px[..., c].ravel(), minlength=len(used)) for c in range(3)], axis=1)
-    return (sums.astype(np.int64) // count[:, None]).astype(np.uint8), count
+    _, count, sums = totals(px)
+    return (sums // count[:, None]).astype(np.uint8), count
 
 
 def median_cut(colours: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -56,12 +61,16 @@ def median_cut(colours: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array(weighted, dtype=np.uint8)
 
 
+def closest(colours: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """Index of the nearest palette entry to each colour, the first of equals."""
+    gaps = ((colours[:, None, :].astype(np.int64) - palette[None].astype(np.int64)) ** 2).sum(axis=2)
+    return gaps.argmin(axis=1)
+
+
 def nearest(px: np.ndarray, palette: np.ndarray) -> np.ndarray:
     """Index of the nearest colour, the first of equals; the first pixel met of a bucket decides for all of it."""
-    flat = px.reshape(-1, 3).astype(np.int64)
     _, first, which = np.unique(bucket(px).ravel(), return_index=True, return_inverse=True)
-    gaps = ((flat[first][:, None, :] - palette[None].astype(np.int64)) ** 2).sum(axis=2)
-    return gaps.argmin(axis=1)[which].reshape(px.shape[:2])
+    return closest(px.reshape(-1, 3)[first], palette)[which].reshape(px.shape[:2])
 
 
 def quantise(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:

@@ -53,16 +53,16 @@ def resize(px: np.ndarray, width: int, height: int) -> np.ndarray:
     return bilinear(px, width, height)
 
 
-def fit(width: int, height: int, edge: int = THUMB_EDGE) -> tuple[int, int]:
-    if max(width, height) <= edge:
-        return width, height
-    if width >= height:
-        return edge, max(height * edge // width, 1)
-    return max(width * edge // height, 1), edge
+def fit(width, height, edge: int = THUMB_EDGE):
+    """(width, height) within a square of this edge, of numbers or of arrays of them; what fits stays."""
+    small, wide = np.maximum(width, height) <= edge, np.greater_equal(width, height)
+    across = np.where(small, width, np.where(wide, edge, np.maximum(width * edge // height, 1)))
+    down = np.where(small, height, np.where(wide, np.maximum(height * edge // width, 1), edge))
+    return across, down
 
 
 def thumbnail(px: np.ndarray, edge: int = THUMB_EDGE) -> np.ndarray:
-    return resize(px, *fit(px.shape[1], px.shape[0], edge))
+    return resize(px, *(int(side) for side in fit(px.shape[1], px.shape[0], edge)))
 
 
 def orient(px: np.ndarray, orientation: int) -> np.ndarray:

@@ -31,17 +31,23 @@ def _masks(bits: int, most: int) -> list[int]:
 
 
 def _tiles(items: DataFrame, threshold: int) -> DataFrame:
-    """All pairs by tiles of rows against tiles of rows, compared in numpy; one task holds two tiles."""
-    count = (items.agg(F.max("ord")).first()[0] or 0) // TILE + 1
-    tile = F.floor(F.col("ord") / TILE).cast("int")
+    """All pairs by tiles of rows against tiles of rows, compared in numpy; one task holds two tiles.
+
+    Tiles are dealt by a hash, so their number follows from the rows, whatever numbers ``ord`` has.
+    """
+    count = max(-(-items.count() // TILE), 1)
+    tile = F.pmod(F.xxhash64("ord"), F.lit(count)).cast("int")
     rows = items.withColumn("tile", tile)
     other = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")
     both = rows.select("ord", "views", "upright", "tile", other)
     paired = both.withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other")})
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        left, right = group[group["tile"] == key[0]], group[group["tile"] == key[1]]
+        first, second = group[group["tile"] == key[0]], group[group["tile"] == key[1]]
+        ways = [(first, second)] if key[0] == key[1] else [(first, second), (second, first)]  # the earlier item of a pair is in either tile
+        return pd.concat([one_way(left, right) for left, right in ways])
+
+    def one_way(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "int32"})
         views = np.stack(left["views"].to_numpy()).astype(np.int64).view(np.uint64)
@@ -153,22 +159,33 @@ def clusters(items: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     return rows.groupBy("component").applyInPandas(lambda g: _merge(g, threshold), "cluster long, ord long, place long")
 
 
-def summarise(members: DataFrame) -> DataFrame:
-    """(ids, best, wasted_bytes) of ``members(cluster, id, bytes, pixels, place)``, in the order of what they waste.
+def keepers(members: DataFrame) -> DataFrame:
+    """(cluster, best, wasted_bytes, n) of ``members(cluster, id, bytes, pixels, place)`` of clusters of two or more.
 
-    The keeper has the most pixels, then bytes, then the last place.  ids are in
-    unsigned order, which is that of their hex digits.
+    The keeper has the most pixels, then bytes, then the last place.  Sums and
+    maxima only: a cluster of any size is one small row.
     """
     size = F.struct("pixels", "bytes", "place")
+    wasted = F.sum("bytes") - F.max_by("bytes", size)
+    return members.groupBy("cluster").agg(F.max_by("id", size).alias("best"), wasted.alias("wasted_bytes"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def expand(members: DataFrame) -> DataFrame:
+    """(best, id, keeper) of each member: the members beside the keepers, by a join that large clusters can be split in."""
+    side = keepers(members).select(F.col("cluster").alias("of_"), "best")
+    return members.join(side, F.col("cluster").eqNullSafe(F.col("of_"))).select("best", "id", (F.col("id") == F.col("best")).alias("keeper"))
+
+
+def summarise(members: DataFrame) -> DataFrame:
+    """(ids, best, wasted_bytes) of each cluster, in the order of what they waste: what a client shows, with all ids in one row.
+
+    ids are in unsigned order, which is that of their hex digits.
+    """
     key = F.lpad(F.lower(F.hex("id")), 16, "0")
-    out = members.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(key.alias("hex"), "id"))), lambda x: x["id"]).alias("ids"),
-        F.max_by("id", size).alias("best"),
-        (F.sum("bytes") - F.max_by("bytes", size)).alias("wasted_bytes"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    kept = out.filter("n > 1").drop("n", "cluster")
-    return kept.orderBy(F.desc("wasted_bytes"), F.lpad(F.lower(F.hex("best")), 16, "0"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("hex"), "id"))), lambda x: x["id"])
+    ids = members.groupBy(F.col("cluster").alias("of_")).agg(listed.alias("ids"))
+    out = keepers(members).join(ids, F.col("cluster").eqNullSafe(F.col("of_"))).select("ids", "best", "wasted_bytes")
+    return out.orderBy(F.desc("wasted_bytes"), F.lpad(F.lower(F.hex("best")), 16, "0"))
 
 
 def signatures_of(content: Iterator[bytes | None], raster, sign) -> list[dict | None]:

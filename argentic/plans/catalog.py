@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from argentic.functions import text
+from argentic.functions import http, text
 from argentic.operators import similarity
-from argentic.sources import folder
+from argentic.sources import folder, sniff
 
 
 def split_fresh(found: DataFrame, previous: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,27 +55,70 @@ def cluster_items(entries: DataFrame, threshold: int = similarity.DEFAULT_THRESH
     return similarity.summarise(members)
 
 
+def run_stats(images: DataFrame) -> DataFrame:
+    """Counts of ``images(reused, state, bytes)``; unreadable files are counted, but are no images."""
+    image = F.col("state") != "unreadable"
+    return images.agg(
+        F.count_if(image).alias("images"), F.count_if(image & F.col("reused")).alias("reused"), F.count_if(image & ~F.col("reused")).alias("decoded"),
+        F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "nopreview").alias("no_preview"),
+        F.count_if(~image).alias("unreadable"), F.coalesce(F.sum(F.when(image, F.col("bytes"))), F.lit(0)).alias("bytes"),
+    )
+
+
+def summary(stats: DataFrame) -> DataFrame:
+    """(line, text): what a run tells, of run_stats with files_seen, clusters, wasted_bytes and elapsed_ms; lines without news are left out."""
+    n = lambda c: F.col(c).cast("string")
+    first = F.concat(n("files_seen"), F.lit(" files, "), n("images"), F.lit(" images, "), text.human_bytes(F.col("bytes")), F.lit(", "), n("elapsed_ms"), F.lit(" ms"))
+    plural = F.when(F.col("clusters") == 1, "cluster").otherwise("clusters")
+    each = F.concat(text.fixed(F.col("elapsed_ms").cast("double") / F.nullif(F.col("decoded"), F.lit(0)), 1), F.lit(" ms per image decoded"))
+    lines = [
+        first,
+        F.when(F.col("reused") > 0, F.concat(n("reused"), F.lit(" reused from the index, "), n("decoded"), F.lit(" decoded"))),
+        F.when(F.col("unreadable") > 0, F.concat(n("unreadable"), F.lit(" unreadable, skipped"))),
+        F.when((F.col("failed") > 0) | (F.col("no_preview") > 0), F.concat(n("failed"), F.lit(" failed to decode, "), n("no_preview"), F.lit(" without a preview"))),
+        F.when(F.col("clusters") > 0, F.concat(n("clusters"), F.lit(" duplicate "), plural, F.lit(", "), text.human_bytes(F.col("wasted_bytes")), F.lit(" reclaimable"))),
+        F.when(F.col("images") == 0, F.lit("no images here")).when(F.col("decoded") > 0, each),
+    ]
+    return stats.select(F.posexplode(F.array_compact(F.array(*lines))).alias("line", "text"))
+
+
+def _arranged(images: DataFrame, root: str) -> DataFrame:
+    pixels = F.coalesce(F.when(F.col("state") == "ok", F.col("dims.w") * F.col("dims.h")), F.lit(0))
+    return with_positions(with_ids(folder.with_dates(images), root)).withColumn("pixels", pixels)
+
+
+def serve(spark: SparkSession, root: str, index_at: str) -> DataFrame:
+    """The entries of an index that is there, without a walk; an error if there is none of this root."""
+    images = folder.load_index(spark, root, index_at)
+    if images is None:
+        raise ValueError(f"no index of {root} in {index_at}")
+    return _arranged(images, root)
+
+
 def build(spark: SparkSession, root: str, index_at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries in timeline order, run statistics) of a folder; unchanged files come from the index, which is then replaced."""
+    """(entries in timeline order, run statistics) of a folder; unchanged files come from the index, which is then replaced.
+
+    Statistics are those of run_stats, with the files seen and the milliseconds that
+    the walk and the decoding took.
+    """
+    began = time.monotonic()
     found = folder.walk(spark, root)
     previous = folder.load_index(spark, root, index_at) if index_at else None
     reused, jobs = split_fresh(found, previous) if previous is not None else (None, found)
     decoded = folder.read_images(jobs)
-    images = decoded if reused is None else reused.unionByName(decoded)
-    images = images.persist()
+    told = decoded.withColumn("reused", F.lit(False))
+    if reused is not None:
+        told = told.unionByName(reused.withColumn("reused", F.lit(True)))
+    told = told.persist()
+    stats = run_stats(told).crossJoin(spark.range(1).select(F.lit(found.count()).alias("files_seen")))  # one row each
+    counted = stats.collect()
+    stats = spark.createDataFrame(counted, stats.schema).withColumn("elapsed_ms", F.lit(int((time.monotonic() - began) * 1000)))
+    images = told.filter("state <> 'unreadable'").drop("reused")
     if index_at:
         with folder.lock(root) as mine:
             if mine:
                 folder.store_index(images, root, index_at)
-    entries = with_positions(with_ids(folder.with_dates(images), root))
-    pixels = F.coalesce(F.when(F.col("state") == "ok", F.col("dims.w") * F.col("dims.h")), F.lit(0))
-    n_reused = reused.count() if reused is not None else 0
-    stats = images.agg(
-        F.lit(found.count()).alias("files_seen"), F.count(F.lit(1)).alias("images"), F.lit(n_reused).alias("reused"),
-        (F.count(F.lit(1)) - n_reused).alias("decoded"), F.count_if(F.col("state") == "failed").alias("failed"),
-        F.count_if(F.col("state") == "nopreview").alias("no_preview"),
-    )
-    return entries.withColumn("pixels", pixels), stats
+    return _arranged(images, root), stats
 
 
 def photo_json(entries: DataFrame) -> DataFrame:
@@ -104,6 +149,44 @@ def by_id(entries: DataFrame, digits: str) -> DataFrame:
     return entries.filter(F.lit(ok) & (F.col("id") == value))
 
 
+def by_ids(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(digits)`` with the entry of each hex id; null columns for what is no id or has no entry."""
+    wanted = asked.withColumn("wanted_", text.parse_hex(F.col("digits")))
+    return wanted.join(entries, F.col("wanted_") == F.col("id"), "left").drop("wanted_")
+
+
+def thumb_responses(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(digits, if_none_match)`` with status, etag and body of each one's thumbnail, which is in the index."""
+    met = by_ids(entries, asked).withColumn("etag", http.etag(F.col("id"), F.col("mtime"), F.col("bytes")))
+    status = F.when(F.col("thumb").isNull(), 404).when(http.etag_matches(F.col("if_none_match"), F.col("etag")), 304).otherwise(200)
+    met = met.withColumn("status", status)
+    return met.select(*asked.columns, "status", F.when(F.col("status") != 404, F.col("etag")).alias("etag"), F.when(F.col("status") == 200, F.col("thumb")).alias("body"))
+
+
+def orig_responses(entries: DataFrame, asked: DataFrame, files: DataFrame) -> DataFrame:
+    """``asked(digits, if_none_match, range)`` with status, content type and range, etag and body of each one's file.
+
+    ``files(path, content)`` are the originals as they are now, such as Spark's
+    binaryFile source reads them; an entry without one is gone.  No path comes
+    from the asker.
+    """
+    now = files.select(F.col("path").alias("path_"), "content", F.octet_length("content").cast("long").alias("total_"))
+    met = by_ids(entries, asked).join(now, F.col("path") == F.col("path_"), "left")
+    met = met.withColumn("etag", http.etag(F.col("id"), F.col("mtime"), F.col("total_"))).withColumn("r_", http.byte_range(F.col("range"), F.col("total_")))
+    bad, part = F.col("r_.kind") == "bad", F.col("r_.kind") == "part"
+    status = F.when(F.col("content").isNull(), 404).when(http.etag_matches(F.col("if_none_match"), F.col("etag")), 304).when(bad, 416).when(part, 206).otherwise(200)
+    met = met.withColumn("status", status)
+    some = F.substring(F.col("content"), (F.col("r_.start") + 1).cast("int"), (F.col("r_.end") - F.col("r_.start") + 1).cast("int"))
+    text_ = lambda x: x.cast("string")
+    reach = F.concat(F.lit("bytes "), text_(F.col("r_.start")), F.lit("-"), text_(F.col("r_.end")), F.lit("/"), text_(F.col("total_")))
+    return met.select(
+        *asked.columns, "status", F.when(F.col("status").isin(200, 206), sniff.mime(F.col("format"))).alias("content_type"),
+        F.when(F.col("status") == 206, reach).when(F.col("status") == 416, F.concat(F.lit("bytes */"), text_(F.col("total_")))).alias("content_range"),
+        F.when(F.col("status").isin(200, 206, 304), F.col("etag")).alias("etag"),
+        F.when(F.col("status") == 200, F.col("content")).when(F.col("status") == 206, some).alias("body"),
+    )
+
+
 def day_groups(entries: DataFrame) -> DataFrame:
     """(day, n, by_mtime): by_mtime if the first photo of the day, in the timeline's order, has only its file's time."""
     first = F.max_by("date_source", F.struct(F.col("taken"), -F.col("pos")))

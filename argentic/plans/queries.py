@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from argentic.functions import http, text
 from argentic.operators import palette, qr, raster, similarity
 from argentic.plans import catalog
-from argentic.sources import exif, gif, jpeg, png, sniff
+from argentic.sources import exif, folder, gif, jpeg, png, sniff
 from argentic.streaming import reindex
 
 QUERIES: dict = {}
@@ -136,12 +136,15 @@ _SQL_ENTRIES = f"SELECT event_id, rel, coalesce(own, digitized, mtime) AS taken,
 
 
 def _entries(spark, sf_dir):
+    """Events as photos: most with a date of their own, errors with the date of digitizing, views with none."""
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    own = F.when(F.col("event_type").isin("view", "error"), None).otherwise(seconds - F.col("user_id") * 3600)
-    digitized = F.when(F.col("event_type") == "error", seconds + F.col("user_id"))
-    source = F.when(own.isNotNull(), "taken").when(digitized.isNotNull(), "digitized").otherwise("mtime")
+    date = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy:MM:dd HH:mm:ss")
+    own = F.when(~F.col("event_type").isin("view", "error"), date(seconds - F.col("user_id") * 3600))
+    digitized = F.when(F.col("event_type") == "error", date(seconds + F.col("user_id")))
+    raw = F.struct(own.alias("original"), digitized.alias("digitized"), F.lit("no date").alias("modified"))
     rel = F.concat_ws("/", "event_type", F.col("event_id").cast("string"))
-    return _load(spark, sf_dir, "events").select("event_id", rel.alias("rel"), F.coalesce(own, digitized, seconds).alias("taken"), source.alias("date_source"))
+    rows = _load(spark, sf_dir, "events").select("event_id", rel.alias("rel"), seconds.alias("mtime"), raw.alias("raw"))
+    return folder.with_dates(rows).select("event_id", "rel", "taken", "date_source")
 
 
 @query(f"SELECT event_id, taken, date_source, strftime(make_timestamp(taken * 1000000), '%Y-%m-%d') AS day FROM ({_SQL_ENTRIES})")
@@ -207,6 +210,29 @@ def human_bytes(spark, sf_dir):
 # HTTP ------------------------------------------------------------------------
 
 
+#: What is asked for is no id for every seventh page, an id without an entry for every fifth.
+_SQL_ASKED = "CASE WHEN page_id % 7 = 0 THEN 'no id' WHEN page_id % 5 = 0 THEN 'abc' ELSE printf('%016x', page_id) END"
+
+
+def _asked(spark, sf_dir):
+    id_ = F.col("page_id")
+    digits = F.when(id_ % 7 == 0, "no id").when(id_ % 5 == 0, "abc").otherwise(text.unsigned_hex(id_))
+    tag = http.etag(id_, 1700000000 + id_, F.octet_length("html").cast("long"))
+    ranges = F.get(F.array(*map(F.lit, [*_RANGES, None])), (id_ % 11).cast("int"))
+    return _load(spark, sf_dir, "pages").select("page_id", digits.alias("digits"), F.when(id_ % 3 == 0, F.concat(F.lit('"x", '), tag)).alias("if_none_match"), ranges.alias("range"))
+
+
+def _page_entries(spark, sf_dir):
+    """Pages as entries, of which every fourth has no thumbnail."""
+    html, id_ = F.col("html").cast("binary"), F.col("page_id")
+    thumb = F.when(id_ % 4 > 0, F.substring(html, 1, 40))
+    return _load(spark, sf_dir, "pages").filter("page_id <> 2748").select(
+        id_.alias("id"), F.col("url").alias("path"), (1700000000 + id_).alias("mtime"), F.octet_length("html").cast("long").alias("bytes"), F.lit("png").alias("format"), thumb.alias("thumb"))
+
+
+_SQL_TAG = "'\"' || printf('%016x', page_id) || '-' || printf('%x', 1700000000 + page_id) || '-' || printf('%x', strlen(html)) || '\"'"
+
+
 @query("""SELECT page_id, '"' || printf('%016x', CASE WHEN page_id % 2 = 0 THEN 18446744073709551615::UBIGINT - (page_id * 7919)::UBIGINT ELSE (page_id * 7919)::UBIGINT END)
   || '-' || printf('%x', 1700000000 + page_id) || '-' || printf('%x', strlen(html)) || '"' AS etag FROM pages""")
 def etag_text(spark, sf_dir):
@@ -233,6 +259,37 @@ def range_parse(spark, sf_dir):
     return found.select("page_id", "r.kind", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"))
 
 
+@query(f"""
+WITH a AS (SELECT page_id, html, hex(encode(html)) AS x, strlen(html)::BIGINT AS total, {_SQL_ASKED} NOT IN ('no id', 'abc') AND page_id <> 2748 AND page_id % 6 > 0 AS there,
+  (list_concat({_RANGES!r}, [NULL]))[page_id % 11 + 1] AS h FROM pages),
+r AS (SELECT *, regexp_extract(h, '^bytes=(\\d*)-(\\d*)$', 1) AS s, regexp_extract(h, '^bytes=(\\d*)-(\\d*)$', 2) AS e, coalesce(regexp_matches(h, '^bytes=(\\d+-\\d*|-\\d+)$'), false) AS ok FROM a),
+t AS (SELECT *, CASE WHEN NOT ok THEN 0 WHEN s = '' THEN greatest(total - try_cast(e AS BIGINT), 0) ELSE try_cast(s AS BIGINT) END AS x1,
+  CASE WHEN NOT ok OR s = '' OR e = '' THEN total - 1 ELSE least(try_cast(e AS BIGINT), total - 1) END AS y1 FROM r),
+u AS (SELECT *, CASE WHEN NOT there THEN 404 WHEN page_id % 3 = 0 THEN 304 WHEN NOT ok THEN 200 WHEN x1 > y1 OR x1 >= total THEN 416 ELSE 206 END AS status FROM t)
+SELECT page_id, status, CASE WHEN status IN (200, 206) THEN 'image/png' END AS content_type,
+  CASE status WHEN 206 THEN 'bytes ' || x1 || '-' || y1 || '/' || total WHEN 416 THEN 'bytes */' || total END AS content_range,
+  CASE WHEN status IN (200, 206, 304) THEN {_SQL_TAG} END AS etag, CASE WHEN status IN (200, 206) THEN md5(substr(x, (2 * x1 + 1)::BIGINT, (2 * (y1 - x1 + 1))::BIGINT)) END AS body FROM u
+""")
+def orig_responses(spark, sf_dir):
+    files = _load(spark, sf_dir, "pages").filter("page_id % 6 > 0").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    found = catalog.orig_responses(_page_entries(spark, sf_dir), _asked(spark, sf_dir), files)
+    return found.select("page_id", "status", "content_type", "content_range", "etag", F.md5(F.hex("body").cast("binary")).alias("body"))
+
+
+_PEERS = ["127.0.0.1", "127.9.9.9", "0.0.0.0", "169.254.3.4", "255.255.255.255", "192.168.1.7", "10.0.0.5", "::1", "fe80::1", None]
+
+
+@query(f"""
+WITH a AS (SELECT page_id, (list_concat({_PEERS[:-1]!r}, [NULL]))[page_id % 10 + 1] AS ip, CASE WHEN page_id % 3 > 0 THEN '192.168.1.7' END AS own FROM pages)
+SELECT page_id, split_part(ip, '.', 1) <> '127' AND ip NOT IN ('0.0.0.0', '255.255.255.255') AND ip NOT LIKE '169.254.%' AS routable,
+  coalesce(split_part(ip, '.', 1) = '127' OR ip = '::1' OR coalesce(ip = own, false), false) AS "local" FROM a
+""")
+def peer_addresses(spark, sf_dir):
+    rows = _load(spark, sf_dir, "pages").select("page_id", F.get(F.array(*map(F.lit, _PEERS)), (F.col("page_id") % 10).cast("int")).alias("ip"))
+    own = F.when(F.col("page_id") % 3 > 0, "192.168.1.7")
+    return rows.select("page_id", http.is_routable(F.col("ip")).alias("routable"), http.is_local_peer(F.col("ip"), own).alias("local"))
+
+
 @query("SELECT page_id, html AS decoded, url AS param FROM pages")
 def percent_decode(spark, sf_dir):
     whole = http.percent_decode(F.replace(F.url_encode("html"), F.lit("+"), F.lit("%20")))
@@ -266,7 +323,7 @@ def _found_and_previous(spark, sf_dir):
 
 
 _SQL_FILES = """
-f AS (SELECT doc_id, source, concat_ws('/', source, doc_id::VARCHAR) AS path, strlen(text)::BIGINT AS bytes, doc_id AS mtime FROM documents WHERE source NOT IN ('src1', 'src2')),
+f AS (SELECT doc_id, source, concat_ws('/', source, doc_id::VARCHAR) AS path, strlen(text)::BIGINT AS bytes, doc_id AS mtime FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src2')),
 p AS (SELECT doc_id, source, concat_ws('/', source, doc_id::VARCHAR) AS path, strlen(text)::BIGINT AS bytes, doc_id - CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS mtime FROM documents WHERE doc_id % 3 < 2)
 """
 
@@ -287,23 +344,52 @@ def deleted_rows(spark, sf_dir):
 WITH {_SQL_FILES}, j AS (SELECT f.*, p.path IS NOT NULL AS reused, CASE f.doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'nopreview' ELSE 'ok' END AS state
   FROM f LEFT JOIN p ON f.path = p.path AND f.bytes = p.bytes AND f.mtime = p.mtime)
 SELECT count(*) AS images, count(*) FILTER (reused) AS reused, count(*) FILTER (NOT reused) AS decoded, count(*) FILTER (state = 'failed') AS failed,
-  count(*) FILTER (state = 'nopreview') AS no_preview, sum(bytes)::BIGINT AS bytes FROM j
+  count(*) FILTER (state = 'nopreview') AS no_preview, 0::BIGINT AS unreadable, sum(bytes)::BIGINT AS bytes FROM j
 """)
 def run_stats(spark, sf_dir):
+    return catalog.run_stats(_run(spark, sf_dir))
+
+
+def _run(spark, sf_dir):
     fresh, jobs = catalog.split_fresh(*_found_and_previous(spark, sf_dir))
     rows = fresh.withColumn("reused", F.lit(True)).unionByName(jobs.withColumn("reused", F.lit(False)))
     state = F.when(F.col("doc_id") % 5 == 0, "failed").when(F.col("doc_id") % 5 == 1, "nopreview").otherwise("ok")
-    return rows.withColumn("state", state).agg(
-        F.count(F.lit(1)).alias("images"), F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("decoded"),
-        F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "nopreview").alias("no_preview"), F.sum("bytes").alias("bytes"),
-    )
+    return rows.withColumn("state", state)
+
+
+@query(f"""
+WITH {_SQL_FILES}, d AS (SELECT f.*, p.path IS NOT NULL AS reused, CASE f.doc_id % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'nopreview' ELSE 'ok' END AS state
+  FROM f LEFT JOIN p ON f.path = p.path AND f.bytes = p.bytes AND f.mtime = p.mtime),
+t AS (SELECT count(*) AS seen, count(*) FILTER (state <> 'unreadable') AS images, count(*) FILTER (state <> 'unreadable' AND reused) AS reused,
+  count(*) FILTER (state <> 'unreadable' AND NOT reused) AS decoded, count(*) FILTER (state = 'unreadable') AS unreadable, count(*) FILTER (state = 'nopreview') AS no_preview,
+  sum(CASE WHEN state <> 'unreadable' THEN bytes END) / 1048576.0::DOUBLE AS mb FROM d),
+l AS (SELECT 0 AS line, seen || ' files, ' || images || ' images, ' || CASE WHEN mb < 1 THEN floor(mb * 1024 + 0.5)::BIGINT || ' KB' WHEN mb < 10 THEN printf('%.1f', mb) || ' MB' ELSE floor(mb + 0.5)::BIGINT || ' MB' END || ', 1234 ms' AS text FROM t
+  UNION ALL SELECT 1, reused || ' reused from the index, ' || decoded || ' decoded' FROM t UNION ALL SELECT 2, unreadable || ' unreadable, skipped' FROM t
+  UNION ALL SELECT 3, '0 failed to decode, ' || no_preview || ' without a preview' FROM t UNION ALL SELECT 4, '1 duplicate cluster, 2.0 KB reclaimable'
+  UNION ALL SELECT 5, printf('%.1f', 1234.0::DOUBLE / decoded) || ' ms per image decoded' FROM t)
+SELECT line::INT AS line, text FROM l
+""")
+def run_summary(spark, sf_dir):
+    rows = _run(spark, sf_dir).withColumn("state", F.when(F.col("state") == "failed", "unreadable").otherwise(F.col("state")))
+    seen = rows.agg(F.count(F.lit(1)).alias("files_seen"))
+    rest = spark.range(1).select(F.lit(1).alias("clusters"), F.lit(2048).cast("long").alias("wasted_bytes"), F.lit(1234).alias("elapsed_ms"))
+    return catalog.summary(catalog.run_stats(rows).crossJoin(seen).crossJoin(rest))  # one row each
 
 
-@query(f"SELECT page_id, url AS found FROM pages WHERE {_sql_fnv('url')} IS NOT NULL")
+@query(f"SELECT page_id, CASE WHEN {_SQL_ASKED} IN ('no id', 'abc') OR page_id = 2748 THEN NULL ELSE url END AS found FROM pages")
 def point_lookup(spark, sf_dir):
-    pages = _load(spark, sf_dir, "pages").select("page_id", "url", text.fnv1a64(F.col("url")).alias("id"))
-    asked = pages.select("page_id", text.parse_hex(text.unsigned_hex(F.col("id"))).alias("wanted"))
-    return asked.join(pages.select("id", F.col("url").alias("found")), F.col("wanted") == F.col("id")).select("page_id", "found")
+    found = catalog.by_ids(_page_entries(spark, sf_dir), _asked(spark, sf_dir).select("page_id", "digits"))
+    return found.select("page_id", F.col("path").alias("found"))
+
+
+@query(f"""
+WITH a AS (SELECT *, {_SQL_ASKED} NOT IN ('no id', 'abc') AND page_id <> 2748 AND page_id % 4 > 0 AS there FROM pages)
+SELECT page_id, CASE WHEN NOT there THEN 404 WHEN page_id % 3 = 0 THEN 304 ELSE 200 END AS status, CASE WHEN there THEN {_SQL_TAG} END AS etag,
+  CASE WHEN there AND page_id % 3 > 0 THEN substr(hex(encode(html)), 1, 80) END AS body FROM a
+""")
+def thumb_responses(spark, sf_dir):
+    asked = _asked(spark, sf_dir).drop("range")
+    return catalog.thumb_responses(_page_entries(spark, sf_dir), asked).select("page_id", "status", "etag", F.hex("body").alias("body"))
 
 
 # Similarity ------------------------------------------------------------------
@@ -390,11 +476,10 @@ def near_dup_clusters(spark, sf_dir):
     return catalog.cluster_items(entries)
 
 
-def _groups(spark, sf_dir):
-    members = _load(spark, sf_dir, "documents").select(
+def _members(spark, sf_dir):
+    return _load(spark, sf_dir, "documents").select(
         F.concat_ws("/", "lang", "source").alias("cluster"), F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("bytes"), F.col("n_chars").alias("pixels"), F.col("doc_id").alias("place")
     )
-    return similarity.summarise(members)
 
 
 _SQL_GROUPS = """g AS (SELECT list(doc_id ORDER BY doc_id) AS ids, max_by(doc_id, (n_chars, strlen(text), doc_id)) AS best,
@@ -403,28 +488,27 @@ _SQL_GROUPS = """g AS (SELECT list(doc_id ORDER BY doc_id) AS ids, max_by(doc_id
 
 @query(f"WITH {_SQL_GROUPS} SELECT best, wasted_bytes, len(ids)::INT AS n FROM g")
 def keeper_and_waste(spark, sf_dir):
-    return _groups(spark, sf_dir).select("best", "wasted_bytes", F.size("ids").alias("n"))
+    return similarity.keepers(_members(spark, sf_dir)).select("best", "wasted_bytes", F.col("n").cast("int").alias("n"))
 
 
 @query(f"WITH {_SQL_GROUPS} SELECT best, wasted_bytes, rank() OVER (ORDER BY wasted_bytes DESC, best)::INT AS place, (sum(wasted_bytes) OVER ())::BIGINT AS total FROM g")
 def reclaim_ranking(spark, sf_dir):
     order = Window.orderBy(F.desc("wasted_bytes"), text.unsigned_hex(F.col("best")))
     total = F.sum("wasted_bytes").over(Window.partitionBy())
-    return _groups(spark, sf_dir).select("best", "wasted_bytes", F.rank().over(order).alias("place"), total.alias("total"))
+    return similarity.keepers(_members(spark, sf_dir)).select("best", "wasted_bytes", F.rank().over(order).alias("place"), total.alias("total"))
 
 
 @query(f"WITH {_SQL_GROUPS}, x AS (SELECT best, unnest(ids) AS id FROM g) SELECT x.best, x.id, x.id = x.best AS keeper, d.n_chars AS pixels FROM x JOIN documents d ON d.doc_id = x.id")
 def cluster_expand(spark, sf_dir):
-    each = _groups(spark, sf_dir).select("best", F.explode("ids").alias("id"))
     docs = _load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("pixels"))
-    return each.join(docs, "id").select("best", "id", (F.col("id") == F.col("best")).alias("keeper"), "pixels")
+    return similarity.expand(_members(spark, sf_dir)).join(docs, "id").select("best", "id", "keeper", "pixels")
 
 
 @query("""WITH g AS (SELECT list(doc_id ORDER BY doc_id) AS ids, max_by(doc_id, (n_chars, strlen(text), doc_id)) AS best,
   (sum(strlen(text)) - max_by(strlen(text), (n_chars, strlen(text), doc_id)))::BIGINT AS wasted_bytes FROM documents GROUP BY lang, source HAVING count(*) > 1)
 SELECT '{"best":"' || printf('%016x', best) || '","wasted":' || wasted_bytes || ',"ids":["' || array_to_string(list_transform(ids, lambda i: printf('%016x', i)), '","') || '"]}' AS json FROM g""")
 def clusters_json(spark, sf_dir):
-    return catalog.cluster_json(_groups(spark, sf_dir))
+    return catalog.cluster_json(similarity.summarise(_members(spark, sf_dir)))
 
 
 @query(f"""SELECT page_id, '{{"id":"' || printf('%016x', page_id) || '","name":"' || split_part(rel, '/', -1) || '","rel":"' || rel || '","bytes":' || strlen(html) || ',"taken":' || (1700000000 + page_id * 5000)
@@ -462,8 +546,8 @@ def dhash_text(spark, sf_dir):
         """Bits of the 9 x 8 grid of mean bytes of equal parts of the text, by the upper and lower rows."""
         cuts = np.arange(73) * len(data) // 72
         sums = np.append(0, np.cumsum(np.frombuffer(data, dtype=np.uint8), dtype=np.int64))[cuts]
-        grid = (np.diff(sums) // np.maximum(np.diff(cuts), 1)).reshape(8, 9)
-        return tuple(int(x) for x in np.packbits(grid[:, :-1] > grid[:, 1:], bitorder="little").view("<u4"))
+        bits = raster.dhash((np.diff(sums) // np.maximum(np.diff(cuts), 1)).reshape(8, 9).astype(np.uint8))
+        return bits & 0xFFFFFFFF, bits >> 32
 
     return _bytes_query(spark, sf_dir, "documents", "doc_id", "text", one, "low long, high long")
 
@@ -500,8 +584,8 @@ def luma(spark, sf_dir):
 @query(f"WITH {_SQL_TRIPLES} SELECT (r // 8) * 1024 + (g // 8) * 32 + b // 8 AS bucket, count(*) AS n, (sum(r) // count(*))::BIGINT AS r, (sum(g) // count(*))::BIGINT AS g, (sum(b) // count(*))::BIGINT AS b FROM t GROUP BY 1")
 def colour_histogram(spark, sf_dir):
     def count(px):
-        keys, which, n = np.unique(palette.bucket(px), return_inverse=True, return_counts=True)
-        return keys, n, *(np.bincount(which, weights=px[:, c], minlength=len(keys)).astype(np.int64) for c in range(3))
+        keys, n, sums = palette.totals(px)
+        return keys, n, *sums.T
 
     found = _counted(spark, sf_dir, count, "bucket long, n long, r long, g long, b long")
     mean = lambda c: F.expr(f"sum({c}) div sum(n)").alias(c)
@@ -519,8 +603,7 @@ _PALETTE = [(0, 0, 0), (255, 255, 255), (96, 96, 96), (110, 100, 120), (60, 112,
 def nearest_colour(spark, sf_dir):
     def count(px):
         colours, n = np.unique(px, axis=0, return_counts=True)
-        gaps = ((colours[:, None, :].astype(np.int64) - np.array(_PALETTE)) ** 2).sum(axis=2)
-        total = np.bincount(gaps.argmin(axis=1), weights=n, minlength=len(_PALETTE)).astype(np.int64)
+        total = np.bincount(palette.closest(colours, np.array(_PALETTE)), weights=n, minlength=len(_PALETTE)).astype(np.int64)
         return np.flatnonzero(total).astype(np.int32), total[total > 0]
 
     return _counted(spark, sf_dir, count, "colour int, n long").groupBy("colour").agg(F.sum("n").alias("n"))
@@ -545,7 +628,9 @@ def box_halve(spark, sf_dir):
     return _byte_grid(spark, sf_dir).mapInPandas(each, "vec_id long, halved string")
 
 
-@query()
+@query(f"""WITH {_SQL_GRID},
+w AS (SELECT vec_id, list_transform(range(40), lambda k: floor(g[k // 5 * 8 + k % 5 * 7 // 4 + 1] * (1 - k % 5 * 7 % 4 / 4.0::DOUBLE) + g[k // 5 * 8 + least(k % 5 * 7 // 4 + 1, 7) + 1] * (k % 5 * 7 % 4 / 4.0::DOUBLE) + 0.5)) AS w FROM g)
+SELECT vec_id, array_to_string(list_transform(range(15), lambda k: floor(w[k // 5 * 7 // 2 * 5 + k % 5 + 1] * (1 - k // 5 * 7 % 2 / 2.0::DOUBLE) + w[least(k // 5 * 7 // 2 + 1, 7) * 5 + k % 5 + 1] * (k // 5 * 7 % 2 / 2.0::DOUBLE) + 0.5)::BIGINT), ',') AS sampled FROM w""")
 def bilinear(spark, sf_dir):
     def each(batches):
         for b in batches:
@@ -570,16 +655,28 @@ def orientation(spark, sf_dir):
   (CASE WHEN w <= 256 AND h <= 256 THEN h WHEN w >= h THEN greatest(h * 256 // w, 1) ELSE 256 END)::BIGINT AS th FROM (SELECT *, l_partkey + 1 AS w, l_suppkey * 9 + 1 AS h FROM lineitem)""")
 def thumbnail_fit(spark, sf_dir):
     rows = _load(spark, sf_dir, "lineitem").select(*_KEYS, (F.col("l_partkey") + 1).alias("w"), (F.col("l_suppkey") * 9 + 1).alias("h"))
-    small, wide = F.expr("w <= 256 and h <= 256"), F.expr("w >= h")
-    tw = F.when(small, F.col("w")).when(wide, F.lit(256)).otherwise(F.expr("greatest(w * 256 div h, 1)"))
-    th = F.when(small, F.col("h")).when(wide, F.expr("greatest(h * 256 div w, 1)")).otherwise(F.lit(256))
-    return rows.select(*_KEYS, tw.alias("tw"), th.alias("th"))
+
+    def each(batches):
+        for b in batches:
+            tw, th = raster.fit(b["w"].to_numpy(), b["h"].to_numpy())
+            yield b[_KEYS].assign(tw=tw, th=th)
+
+    return rows.mapInPandas(each, "l_orderkey long, l_linenumber int, l_partkey long, tw long, th long")
 
 
 # Checksums and codecs --------------------------------------------------------
 
 
-@query()
+def _crc_steps() -> list[int]:
+    """What each byte does to a CRC-32 register, from its polynomial."""
+    steps = list(range(256))
+    for _ in range(8):
+        steps = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in steps]
+    return steps
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_sql_bytes("text")} AS x FROM documents)
+SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], x), lambda c, v: xor(c >> 8, ({_crc_steps()}::BIGINT[])[(xor(c, v) & 255) + 1])), 4294967295)::BIGINT AS crc FROM b""")
 def crc32(spark, sf_dir):
     return _load(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
@@ -729,8 +826,11 @@ def exif_extract(spark, sf_dir):
 
 @query("SELECT page_id, CASE WHEN strlen(url) + 2 <= 55 THEN 3 WHEN strlen(url) + 2 <= 80 THEN 4 END AS version FROM pages")
 def qr_version(spark, sf_dir):
-    n = F.octet_length("url") + 2
-    return _load(spark, sf_dir, "pages").select("page_id", F.when(n <= 55, 3).when(n <= 80, 4).alias("version"))
+    def one(_, data):
+        found = qr.pick_version(len(data))
+        return (None if found is None else found[0],)
+
+    return _bytes_query(spark, sf_dir, "pages", "page_id", "url", one, "version int")
 
 
 @query("""SELECT page_id, (CASE page_id % 8 WHEN 0 THEN (i + j) % 2 WHEN 1 THEN i % 2 WHEN 2 THEN j % 3 WHEN 3 THEN (i + j) % 3 WHEN 4 THEN (i // 2 + j // 3) % 2 WHEN 5 THEN (i * j) % 2 + (i * j) % 3

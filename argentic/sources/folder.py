@@ -80,7 +80,11 @@ def develop(data: bytes, format_: str) -> dict:
 
 
 def read_images(files: DataFrame, opener=None) -> DataFrame:
-    """The images among ``files(path, bytes, mtime)``, developed.  First bytes decide before the rest is read; a file that can't be read is left out."""
+    """The images among ``files(path, bytes, mtime)``, developed.  First bytes decide before the rest is read.
+
+    A file that can't be read, or that ends its own work in any other way, is a
+    row of state "unreadable" and ends nothing else.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,8 +96,8 @@ def read_images(files: DataFrame, opener=None) -> DataFrame:
                         if format_ is None:
                             continue
                         done = develop(head + f.read(), format_)
-                except Exception:  # one bad file must not end the job
-                    continue
+                except Exception as e:  # one bad file must not end the job
+                    format_, done = None, {"raw": None, "sig": None, "thumb": None, "dims": None, "state": "unreadable", "reason": str(e)}
                 yield pd.DataFrame([row | {"format": format_} | done])
 
     return files.select("path", "bytes", "mtime").mapInPandas(each, WORK)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,5 +44,13 @@ class Progress(StreamingQueryListener):
     def onQueryTerminated(self, event):
         self.finished = True
 
+    def reset(self) -> None:
+        """Before a run over another folder starts: whoever asks in between must not take the last run's end for its own."""
+        self.done, self.batches, self.finished = 0, 0, False
+
+    def event(self, total: int, indexed: int) -> str:
+        """One server-sent event; the last one says that indexing has ended."""
+        return "data: " + json.dumps({"done": self.done, "total": total, "indexed": indexed, "indexing": not self.finished}, separators=(",", ":")) + "\n\n"
+
     def percent(self, total: int) -> int:
         return round(self.done / total * 100) if total else 0

@@ -22,7 +22,7 @@ def test_exif_date(spark, raw, seconds):
     assert one(spark, text.parse_exif_datetime(F.lit(raw))) == seconds
 
 
-@pytest.mark.parametrize("n,d,shown", [(1, 250, "1/250"), (10, 2500, "1/250"), (2, 1, "2.0s"), (0, 100, "0s"), (1, 0, "-"), (1, 4, "1/4"), (9, 4, "2.2s")])
+@pytest.mark.parametrize("n,d,shown", [(1, 60, "1/60"), (3, 24, "1/8"), (2, 7, "1/4"), (7, 2, "3.5s"), (0, 9, "0s"), (5, 0, "-"), (9, 4, "2.2s")])
 def test_exposure(spark, n, d, shown):
     assert one(spark, text.exposure_text(F.lit(n), F.lit(d))) == shown
 
@@ -44,7 +44,7 @@ def test_day(spark, seconds, day):
 
 @pytest.mark.parametrize(
     "header,found",
-    [("bytes=0-99", ("part", 0, 99)), ("bytes=500-", ("part", 500, 999)), ("bytes=-100", ("part", 900, 999)), ("bytes=0-99999", ("part", 0, 999)), ("bytes=5000-6000", ("bad", None, None)), ("bytes=0-1,3-4", ("all", None, None)), (None, ("all", None, None))],
+    [("bytes=7-7", ("part", 7, 7)), ("bytes=998-", ("part", 998, 999)), ("bytes=-3", ("part", 997, 999)), ("bytes=-4000", ("part", 0, 999)), ("bytes=250-1000", ("part", 250, 999)), ("bytes=1000-", ("bad", None, None)), ("bytes=2-4,9-", ("all", None, None)), ("lines=1-2", ("all", None, None)), (None, ("all", None, None))],
 )
 def test_range(spark, header, found):
     assert tuple(one(spark, http.byte_range(F.lit(header).cast("string"), F.lit(1000)))) == found
@@ -67,3 +67,10 @@ def test_sniff_of_short_and_null(spark):
     assert one(spark, sniff.sniff(F.lit(bytearray(b"\xff\xd8\xff")))) == "jpeg"
     assert one(spark, sniff.sniff(F.lit(bytearray(b"")))) is None
     assert one(spark, sniff.sniff(F.lit(None).cast("binary"))) is None
+
+
+def test_names_and_days(spark):
+    assert one(spark, text.display_path(F.lit("\\\\?\\C:\\x\\y"))) == "C:/x/y"
+    assert one(spark, text.pretty_day(F.lit("2024-03-09"))) == "9 March 2024"
+    assert [one(spark, text.whole_seconds(F.lit(n).cast("long"))) for n in (1_999_999, -1_999_999, 0)] == [1, -1, 0]
+    assert one(spark, http.etag_matches(F.lit('"a", "b"'), F.lit('"b"'))) and not one(spark, http.etag_matches(F.lit('"a"'), F.lit('"b"')))
