@@ -11,6 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argentic.session import shared_folder
+
 DEFAULT_THRESHOLD = 10
 #: Signatures up to which comparing all pairs by tiles costs less than looking up neighbours.
 TILED = 200_000
@@ -101,10 +103,8 @@ def components(pairs: DataFrame, checkpoint=None) -> DataFrame:
     Rounds of least neighbour and pointer jumping, each cut off by a checkpoint.
     """
     spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     save = checkpoint or (lambda df: df.checkpoint())
     edges = save(pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
     label = edges.groupBy("i").agg(F.least(F.min("j"), F.first("i")).alias("c")).withColumnRenamed("i", "node")

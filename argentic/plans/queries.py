@@ -7,7 +7,6 @@ pages are files, events the timeline, embeddings 8 x 8 grids, texts rasters.
 from __future__ import annotations
 
 import struct
-import tempfile
 import uuid
 import zlib
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from argentic.functions import http, text
 from argentic.operators import palette, qr, raster, similarity
 from argentic.plans import catalog
+from argentic.session import shared_folder
 from argentic.sources import exif, folder, gif, jpeg, png, sniff
 from argentic.streaming import reindex
 
@@ -867,7 +867,7 @@ def rs_codewords(spark, sf_dir):
 def stream_reindex(spark, sf_dir):
     """The documents table as a stream of files, indexed in micro-batches; totals are those of the batch."""
     schema = _load(spark, sf_dir, "documents").schema
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = reindex.file_stream(spark, f"{sf_dir}/documents.parquet*", schema).select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
     reindex.drain(rows, lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/index/batch={batch}"), f"{base}/state")
     done = spark.read.parquet(f"{base}/index")
