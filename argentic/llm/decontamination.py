@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, load, lower_ascii, words
 
-#: Tables of so many rows at most are sent to every executor; larger ones are joined by shuffles.
-MAX_BROADCAST = 200_000
+#: Tables of so many rows and bytes of text at most are sent to every executor; larger ones are joined by shuffles.
+MAX_BROADCAST, MAX_BYTES = 200_000, 32 << 20
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+def _small(df: DataFrame, text: Column | None = None) -> DataFrame:
+    """``df``, to be sent to every executor if it is small; ``text``: bytes of what its rows hold besides numbers."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.lit(0) if text is None else text)).first()
+    return F.broadcast(df) if rows <= MAX_BROADCAST and (size or 0) <= MAX_BYTES else df
 
 
 def _windows(width: Column | int, ws: str = "ws") -> Column:
@@ -99,7 +101,8 @@ def _find(docs: DataFrame, items: DataFrame, width: int, share: float) -> DataFr
     same = F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_"))
     held = text.join(_small(per_doc), same, "left_semi").dropDuplicates(["doc_id", "h"])
     held = held.join(candidates.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), "item_id"), same).select("doc_id", "h", "ws", "item_id")
-    pairs = held.join(_small(shingled), "item_id")
+    weight = F.aggregate("shingles", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 16)
+    pairs = held.join(_small(shingled, weight), "item_id")
     shared = F.size(F.array_intersect(F.col("shingles"), _windows("width")))
     counted = pairs.select("doc_id", "h", "item_id", F.size("shingles").alias("n_shingles"), shared.alias("n_found"))
     kept = counted.filter(F.col("n_found") >= F.ceil(F.col("n_shingles") * F.lit(share) - F.lit(1e-9)))

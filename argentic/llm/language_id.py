@@ -23,6 +23,8 @@ BITS = 15
 GRAMS = (2, 4)
 #: Labelled documents that the model is learned from, at most, chosen by a hash of their id.
 SAMPLE = 6000
+#: Texts of more bytes are not learned from, so that the sample has a bound.
+LONGEST = 1 << 18
 #: Added to every count.
 PRIOR = 0.5
 UNKNOWN = "und"
@@ -50,7 +52,7 @@ def train(texts: list[bytes | None], langs: list[str]) -> tuple[list[str], np.nd
 
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[list[str], bytes]:
     small_batches(docs.sparkSession)
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.filter(usable & F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST))
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()  # the bound of the sample
     texts = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max(F.struct("lang", "text")).alias("x"))
     texts = texts.select("doc_id", "x.lang", F.col("x.text").cast("binary").alias("t"))

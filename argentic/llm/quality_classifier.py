@@ -24,6 +24,8 @@ BITS = 16
 GRAMS = (3, 5)
 #: Parameters of training: labelled rows at most, chosen by a hash of their id; vector size; passes; step.
 SAMPLE = 4000
+#: Texts of more bytes are scored, but not learned from, so that the sample has a bound.
+LONGEST = 1 << 18
 VECTOR, PASSES, STEP = 12, 15, 0.5
 #: So many features without effect count towards each mean: few features tell little.
 PADDING = 100
@@ -67,11 +69,15 @@ def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> bytes:
-    """The model learned from labelled rows where ``usable`` (a Boolean of doc_id) holds; labels other than 0 and 1 are left out."""
+    """The model learned from labelled rows where ``usable`` (a Boolean of doc_id) holds; labels other than 0 and 1 are left out.
+
+    A document labelled both ways counts as 1.
+    """
     small_batches(docs.sparkSession)
     labelled = labels.filter(usable & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound of the sample
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.max("t").alias("t"))
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    texts = short.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.max("t").alias("t"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
