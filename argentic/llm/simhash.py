@@ -159,12 +159,13 @@ POSITIONS, RUN, RUNS = 256, 4, 16
 #: Pairs with fewer equal bytes are not verified: 3.5 standard deviations below what a similarity of 0.8 gives.
 LEAST_EQUAL = 182
 #: All pairs of so short a posting list are candidates; in a longer one each entry is paired with HUBS others.
-LISTED, HUBS = 24, 3
+LISTED, HUBS = 4, 3
 #: Entries that the hubs of a long list don't reach are held against the whole list, in blocks of about so many bytes,
 #: where an entry counts for ROW_BYTES more than it has.
 BLOCK_BYTES, ROW_BYTES = 1 << 21, 1 << 11
-#: Parts that the copies of one text are dealt to before one of them is taken.
-SALTS = 32
+#: Hashes of so many texts are sent to every executor to pick the texts; more of them are joined, with the copies of one
+#: text dealt to SALTS parts before one of them is taken.
+MAX_SENT, SALTS = 500_000, 32
 _WAYS = np.random.default_rng(11).integers(0, 1 << 63, (2, POSITIONS), dtype=U) * U(2) + U(1)
 
 
@@ -337,10 +338,14 @@ def _cells(entries: DataFrame, more: list[str]) -> DataFrame:
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, t) of the ``wanted(w)`` texts, once each; a text with very many copies is met in SALTS tasks."""
-    spread = wanted.select("w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_w"))
-    salted = rows.select("h", "t", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(spread, (F.col("h") == F.col("w")) & (F.col("salt") == F.col("salt_w")), "left_semi").groupBy("h").agg(F.first("t").alias("t"))
+    """(h, t) of the ``wanted(w)`` texts, a written table of hashes, once each; partial sums or parts keep many copies of one text apart."""
+    if wanted.count() <= MAX_SENT:
+        met = rows.join(F.broadcast(wanted), F.col("h") == F.col("w"), "left_semi")
+    else:
+        spread = wanted.select("w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_w"))
+        salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        met = salted.join(spread, (F.col("h") == F.col("w")) & (F.col("salt") == F.col("salt_w")), "left_semi")
+    return met.groupBy("h").agg(F.first("t").alias("t"))
 
 
 def _outsiders(postings: DataFrame, nodes: DataFrame, rows: DataFrame, roots: DataFrame, width: int, share: float, scratch: Scratch) -> DataFrame:
@@ -367,7 +372,8 @@ def _outsiders(postings: DataFrame, nodes: DataFrame, rows: DataFrame, roots: Da
     same = [F.col("key") == F.col("k_"), F.col("h") == F.col("h_")]
     left = entries.drop("size").join(open_.distinct().select(F.col("key").alias("k_"), F.col("h").alias("h_")), same, "left_semi")
     left = scratch.save(left)
-    texts = _texts_of(rows, left.select(F.col("h").alias("w")).distinct())
+    wanted = scratch.save(left.select(F.col("h").alias("w")).distinct())
+    texts = _texts_of(rows, wanted)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -377,7 +383,7 @@ def _outsiders(postings: DataFrame, nodes: DataFrame, rows: DataFrame, roots: Da
     scratch.drop(entries, open_)
     held = left.join(sets, F.col("h") == F.col("h_")).withColumn("size", F.length("s") + POSITIONS + ROW_BYTES)
     found = scratch.save(_cells(held, ["s"]).applyInPandas(lambda g: _Cell(g).links(share), "a long, b long"))
-    scratch.drop(left, sets)
+    scratch.drop(left, sets, wanted)
     return found
 
 
@@ -395,10 +401,10 @@ def similar_groups(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataF
     scratch.drop(wide)
     postings = scratch.save(nodes.select(F.explode("keys").alias("key"), "h"))
     pairs = scratch.save(_tallied(_candidates(postings), nodes.select("h", "fp")))
-    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    wanted = scratch.save(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct())
     texts = scratch.save(_texts_of(rows.select("h", "t"), wanted))
     links = scratch.save(_verified(pairs, texts, width, share))
-    scratch.drop(pairs, texts)
+    scratch.drop(pairs, texts, wanted)
     roots = connected_components(links, scratch)
     more = _outsiders(postings, nodes, rows.select("h", "t"), roots, width, share, scratch)
     if not more.isEmpty():
