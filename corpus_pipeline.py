@@ -50,7 +50,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near", near), ("leaks", leaks), ("mix", mix), ("shards", shards)]
 
-#: The classifier is learned and near copies are chained, which SQL can't express; tests/llm hold the stages' operators against brute force.
+#: The classifier is learned and near copies are chained, which SQL can't express; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
