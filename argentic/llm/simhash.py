@@ -194,29 +194,36 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _wide(rows: DataFrame, width: int) -> DataFrame:
-    """(h, fp, keys) of ``rows(h, t)``."""
+    """(h, fp) of ``rows(h, t)``."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = np.arange(RUNS, dtype=np.int64) << (8 * RUN)
-        scale = np.int64(256) ** np.arange(RUN, dtype=np.int64)
         for b in batches:
             if len(b):
-                fps = np.stack([wide_fingerprint(shingle_hashes(t, width)) for t in b["t"]])
-                keys = (fps[:, : RUN * RUNS].reshape(-1, RUNS, RUN).astype(np.int64) * scale).sum(axis=2) + places
-                yield pd.DataFrame({"h": b["h"], "fp": [x.tobytes() for x in fps], "keys": list(keys)})
+                yield pd.DataFrame({"h": b["h"], "fp": [wide_fingerprint(shingle_hashes(t, width)).tobytes() for t in b["t"]]})
 
-    return rows.mapInPandas(each, "h long, fp binary, keys array<long>")
+    return rows.mapInPandas(each, "h long, fp binary")
 
 
-def _candidates(postings: DataFrame) -> DataFrame:
-    """Pairs a < b of ``postings(key, h)`` that share a key: all in short lists, each with some hubs in long ones."""
-    hubs = [F.min_by("h", F.xxhash64("h", F.lit(i))).alias(f"hub{i}") for i in range(HUBS)]
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *hubs).filter("n > 1").withColumnRenamed("key", "k_")
-    met = postings.join(lists, F.col("key") == F.col("k_"))
+def _postings(nodes: DataFrame) -> DataFrame:
+    """(key, h) of ``nodes(h, fp)``: a key is the place of a run and its bytes."""
+    run = lambda i: F.conv(F.hex(F.substring("fp", RUN * i + 1, RUN)), 16, 10).cast("long")
+    return nodes.select(F.explode(F.array(*(run(i) + F.lit(i << 8 * RUN) for i in range(RUNS)))).alias("key"), "h")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """(key, h, n) of the postings of lists with n > 1 entries; most keys have one entry, and only their counts are shuffled."""
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "k_")
+    return postings.join(lists, F.col("key") == F.col("k_")).select("key", "h", "n")
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Pairs a < b of ``met(key, h, n)`` that share a key: all in short lists, each with some hubs in long ones."""
     short = met.filter(F.col("n") <= LISTED).groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("hs"))
     pairs = F.flatten(F.transform("hs", lambda a, i: F.transform(F.slice(F.col("hs"), i + 2, F.size("hs")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     near = short.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    far = met.filter(F.col("n") > LISTED).select("h", F.explode(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hub")).filter("h <> hub")
+    long_ = met.filter(F.col("n") > LISTED)
+    hubs = long_.groupBy("key").agg(*(F.min_by("h", F.xxhash64("h", F.lit(i))).alias(f"hub{i}") for i in range(HUBS))).withColumnRenamed("key", "k_")
+    far = long_.join(hubs, F.col("key") == F.col("k_")).select("h", F.explode(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hub")).filter("h <> hub")
     return near.unionByName(far.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))).distinct()
 
 
@@ -348,7 +355,7 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.groupBy("h").agg(F.first("t").alias("t"))
 
 
-def _outsiders(postings: DataFrame, nodes: DataFrame, rows: DataFrame, roots: DataFrame, width: int, share: float, scratch: Scratch) -> DataFrame:
+def _outsiders(met: DataFrame, nodes: DataFrame, rows: DataFrame, roots: DataFrame, width: int, share: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) that the hubs of long posting lists left open.
 
     Most entries of a list are of one group by now.  All others are held against
@@ -358,8 +365,7 @@ def _outsiders(postings: DataFrame, nodes: DataFrame, rows: DataFrame, roots: Da
     entries that have such a pair.  A pair of blocks is work of bounded size,
     whatever the length of the list, and gives links of a forest alone.
     """
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LISTED).withColumnRenamed("key", "k_")
-    met = postings.join(lists, F.col("key") == F.col("k_")).select("key", "h", "n")
+    met = met.filter(F.col("n") > LISTED)
     met = scratch.save(met.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("root")))
     shares = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"), F.first("n").alias("n"))
     main = shares.groupBy("key").agg(F.max_by("root", F.struct("part", "root")).alias("main"), (F.first("n") - F.max("part")).alias("r"))
@@ -397,19 +403,21 @@ def similar_groups(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataF
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     ids = scratch.save(rows.select("doc_id", "h"))
     wide = scratch.save(_wide(rows.select("h", "t"), width))
-    nodes = scratch.save(wide.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = scratch.save(wide.groupBy("h").agg(F.first("fp").alias("fp")))
     scratch.drop(wide)
-    postings = scratch.save(nodes.select(F.explode("keys").alias("key"), "h"))
-    pairs = scratch.save(_tallied(_candidates(postings), nodes.select("h", "fp")))
+    postings = scratch.save(_postings(nodes))
+    met = scratch.save(_shared(postings))
+    scratch.drop(postings)
+    pairs = scratch.save(_tallied(_candidates(met), nodes))
     wanted = scratch.save(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct())
     texts = scratch.save(_texts_of(rows.select("h", "t"), wanted))
     links = scratch.save(_verified(pairs, texts, width, share))
     scratch.drop(pairs, texts, wanted)
     roots = connected_components(links, scratch)
-    more = _outsiders(postings, nodes, rows.select("h", "t"), roots, width, share, scratch)
+    more = _outsiders(met, nodes, rows.select("h", "t"), roots, width, share, scratch)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
-    scratch.drop(postings, nodes)
+    scratch.drop(met, nodes)
     return ids.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
 
 
