@@ -76,10 +76,11 @@ def aperture_text(n: Column, d: Column) -> Column:
     return F.when(d != 0, F.concat(F.lit("f/"), fixed(n.cast("double") / F.nullif(d.cast("double"), F.lit(0.0)), 1)))
 
 
-def human_bytes(n: Column) -> Column:
-    """Steps of 1024 up to TB; one decimal below 10, else whole."""
+def human_bytes(n: Column, most: str = "TB") -> Column:
+    """Steps of 1024 up to the unit ``most``; one decimal below 10, else whole."""
     value, unit = n.cast("double"), F.lit("B")
-    for step, name in enumerate(("KB", "MB", "GB", "TB"), 1):
+    names = ("KB", "MB", "GB", "TB")
+    for step, name in enumerate(names[: names.index(most) + 1], 1):
         over = n.cast("double") >= float(1024**step)
         value, unit = F.when(over, n / float(1024**step)).otherwise(value), F.when(over, F.lit(name)).otherwise(unit)
     whole = F.floor(value + 0.5).cast("string")

@@ -65,10 +65,13 @@ def run_stats(images: DataFrame) -> DataFrame:
     )
 
 
-def summary(stats: DataFrame) -> DataFrame:
-    """(line, text): what a run tells, of run_stats with files_seen, clusters, wasted_bytes and elapsed_ms; lines without news are left out."""
+def summary(stats: DataFrame, most: str = "TB") -> DataFrame:
+    """(line, text): what a run tells, of run_stats with files_seen, clusters, wasted_bytes and elapsed_ms; lines without news are left out.
+
+    ``most`` is the largest unit of all bytes.
+    """
     n = lambda c: F.col(c).cast("string")
-    first = F.concat(n("files_seen"), F.lit(" files, "), n("images"), F.lit(" images, "), text.human_bytes(F.col("bytes")), F.lit(", "), n("elapsed_ms"), F.lit(" ms"))
+    first = F.concat(n("files_seen"), F.lit(" files, "), n("images"), F.lit(" images, "), text.human_bytes(F.col("bytes"), most), F.lit(", "), n("elapsed_ms"), F.lit(" ms"))
     plural = F.when(F.col("clusters") == 1, "cluster").otherwise("clusters")
     each = F.concat(text.fixed(F.col("elapsed_ms").cast("double") / F.nullif(F.col("decoded"), F.lit(0)), 1), F.lit(" ms per image decoded"))
     lines = [

@@ -32,6 +32,11 @@ def test_human_bytes(spark, n, shown):
     assert one(spark, text.human_bytes(F.lit(n).cast("long"))) == shown
 
 
+@pytest.mark.parametrize("n,most,shown", [(3 << 30, "MB", "3072 MB"), (3 << 30, "TB", "3.0 GB"), (3 << 20, "MB", "3.0 MB"), (3 << 20, "KB", "3072 KB")])
+def test_human_bytes_up_to_a_unit(spark, n, most, shown):
+    assert one(spark, text.human_bytes(F.lit(n).cast("long"), most)) == shown
+
+
 @pytest.mark.parametrize("make,model,shown", [("Canon", "Canon EOS 5D", "Canon EOS 5D"), ("NIKON CORPORATION", "NIKON D850", "NIKON CORPORATION NIKON D850"), (None, "X", "X"), ("Y", None, "Y"), (None, None, None)])
 def test_camera(spark, make, model, shown):
     assert one(spark, text.camera(F.lit(make).cast("string"), F.lit(model).cast("string"))) == shown
